@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_digest, media, packing
+from . import ann, bpe_digest, licenses, media, packing, toxicity, warc
 
 
 def vocab_path() -> str:
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -28,14 +36,29 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest.digest(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.oracle(),
+}
