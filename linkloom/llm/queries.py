@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_digest, licenses, media, packing, pii, toxicity, warc
+from . import ann, bpe_digest, licenses, media, neardup, packing, pii, toxicity, warc
 
 
 def vocab_path() -> str:
@@ -32,6 +32,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=80)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
+    "op4_neardup": op4_neardup,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
