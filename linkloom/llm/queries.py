@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_digest, licenses, media, neardup, packing, pii, toxicity, warc
+from . import ann, bpe_digest, licenses, media, neardup, packing, pii, suffixes, toxicity, warc
 
 
 def vocab_path() -> str:
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_suffixes": op9_suffixes,
     "op10_ann": op10_ann,
 }
 
