@@ -21,7 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/linkloom-scratch/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/linkloom-scratch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: paths of scratch tables that this process has asked for and not deleted
+_made: list[str] = []
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -33,21 +39,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/linkloom-scratch/" in f}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
+
+
+def made_since(n: int) -> list[str]:
+    """Scratch tables made after the first n."""
+    return _made[n:]
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every scratch table of this library in the shared folder."""
-    _delete(spark, f"{shared_dir(spark)}/linkloom-scratch")
+def made() -> int:
+    return len(_made)
 
 
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:

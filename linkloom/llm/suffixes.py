@@ -287,6 +287,7 @@ def _cut_out(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, byt
     return int((hi - lo).sum()), len(lo), b"".join(parts)
 
 
+_FORMS = {"bytes": bytes, "sha256": lambda x: hashlib.sha256(x).digest(), "text": lambda x: x.decode("utf-8", "ignore").encode()}
 STATE = "kind int, doc long, n_bytes long, n_removed long, n_spans long, kept binary, gone binary, print long, at long"
 DONE, PENDING, WINDOW, AGAIN = 0, 1, 2, 3
 
@@ -297,7 +298,7 @@ def _state(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-def _apply(rows: DataFrame, span: int, digest: bool) -> DataFrame:
+def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
     """Rows of STATE from doc, text, and the document's repeats and borders:
     documents without borders are done; others wait, and send their windows."""
 
@@ -328,7 +329,7 @@ def _apply(rows: DataFrame, span: int, digest: bool) -> DataFrame:
                         out["kind"].append(DONE)
                         out["n_removed"].append(removed)
                         out["n_spans"].append(spans)
-                        out["kept"].append(hashlib.sha256(kept).digest() if digest else kept)
+                        out["kept"].append(_FORMS[form](kept))
                         out["gone"].append(None)
                     out["doc"].append(doc)
                     out["n_bytes"].append(len(data))
@@ -362,7 +363,7 @@ def _windows(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "print").mapInArrow(run, "doc long, at long")
 
 
-def _finish(rows: DataFrame, span: int, digest: bool) -> DataFrame:
+def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at_row in range(0, whole.num_rows, 256):
@@ -372,31 +373,32 @@ def _finish(rows: DataFrame, span: int, digest: bool) -> DataFrame:
                     a, z = np.frombuffer(gone, np.int64).reshape(2, -1)
                     s = np.array(ats or [], np.int64)
                     removed, spans, kept = _cut_out(data, np.concatenate([a, s]), np.concatenate([z, s + span]))
-                    for c, v in zip(out, (DONE, doc, len(data), removed, spans, hashlib.sha256(kept).digest() if digest else kept)):
+                    for c, v in zip(out, (DONE, doc, len(data), removed, spans, _FORMS[form](kept))):
                         out[c].append(v)
                 yield _state(**out)
 
     return rows.mapInArrow(run, STATE)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 32, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 32, form: str = "bytes") -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept of every document.
 
-    kept is the remaining bytes, or their SHA-256 with digest; k: length of anchors."""
+    kept is by form the remaining "bytes", their "sha256", or as "text" those of
+    them that make whole characters; k: length of anchors."""
     if not 1 <= k < span or span - k >= 256:
         raise ValueError("k must be less than span, and by less than 256")
     texts = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
     parts = shuffle_parts(docs.sparkSession)
     marks = cut(_global(_local(texts, span, k), parts), "marks")
     own = marks.groupBy("doc").agg(F.collect_set("at").alias("ats"))  # as many as the document's length allows
-    state = cut(_apply(texts.join(own, "doc", "left").select("doc", "text", "ats"), span, digest), "state")
+    state = cut(_apply(texts.join(own, "doc", "left").select("doc", "text", "ats"), span, form), "state")
     again = _windows(state.where(f"kind = {WINDOW}").select("print", "doc", "at"), parts)
     again = again.union(state.where(f"kind = {AGAIN}").select("doc", "at")).groupBy("doc").agg(F.collect_set("at").alias("ats"))
     pending = state.where(f"kind = {PENDING}").select("doc", "kept", "gone")
-    late = _finish(pending.join(again, "doc", "left").select("doc", "kept", "gone", "ats"), span, digest)
+    late = _finish(pending.join(again, "doc", "left").select("doc", "kept", "gone", "ats"), span, form)
     return state.where(f"kind = {DONE}").union(late).select("doc", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    out = remove_repeats(documents, digest=True)
+    out = remove_repeats(documents, form="sha256")
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
