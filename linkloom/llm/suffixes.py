@@ -144,7 +144,8 @@ class Family:
             stay = np.ones(len(new[0]), bool)
             stay[hit] = False
             new = [f[stay] for f in new]
-        self.levels.append(new)
+        if len(new[0]):
+            self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             self._merge()
 
@@ -334,12 +335,15 @@ def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
                     out["doc"].append(doc)
                     out["n_bytes"].append(len(data))
                 yield _state(**out)
+                found: list[tuple] = []
                 for doc, start, data in wins:
                     for at in range(0, len(data), CHUNK):  # pieces of a long document
                         s = start[(start >= at) & (start < at + CHUNK)] - at
                         if len(s):
                             fp = fingerprints(np.frombuffer(data[at : at + CHUNK + span], np.uint8), s, s + span)
-                            family.add(fp, np.full(len(s), doc, np.int64), s + at, fp)
+                            found.append((fp, np.full(len(s), doc, np.int64), s + at, fp))
+                if found:
+                    family.add(*(np.concatenate(f) for f in zip(*found)))
         kept, again = family.finish()
         for i in range(0, len(kept[0]), 100_000):
             yield _state(kind=np.full(len(kept[0][i : i + 100_000]), WINDOW), doc=kept[1][i : i + 100_000], print=kept[0][i : i + 100_000].view(np.int64), at=kept[2][i : i + 100_000])
