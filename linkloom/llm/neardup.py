@@ -9,7 +9,9 @@ pairs above the threshold keep meeting while others part at every level.
 
 * A node of at most `leaf` members is compared exhaustively, on one-bit
   sketches of 128 minwise tokens; the sketch test is set 4.5 standard
-  deviations below the threshold.
+  deviations below the threshold.  In a group of copies every pair would be a
+  candidate, so a member first passes on one of its own only, and the node
+  meets again later, for pairs between different components.
 * A larger node compares its members with one of them, and, unless they then
   all lie in one component, branches on; only members of different components
   need be compared with each other from there.  What is still large after
@@ -124,10 +126,14 @@ def descend(rows: DataFrame, threshold: float, levels: int, trees: int | None) -
     return rows.mapInArrow(run, "node long, c long, s0 long, s1 long, comp long")
 
 
-def meet(rows: DataFrame, leaf: int, agree: int, parts: int, all_pairs: bool = False) -> DataFrame:
+def meet(rows: DataFrame, leaf: int, agree: int, parts: int, first: bool = False, all_pairs: bool = False) -> DataFrame:
     """Rows of MET from nodes: kind 0, a candidate pair a < b and how many of
     128 bits agree; kind 1, a member b of a large node a, to branch further.
-    With all_pairs, large nodes are compared in blocks instead."""
+
+    first: a small node gives each member its candidate of least class only;
+    where there are more, its members come as kind 2, to meet again once it is
+    known which of them lie in one component.
+    all_pairs: large nodes are compared in blocks instead of branching."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -136,6 +142,14 @@ def meet(rows: DataFrame, leaf: int, agree: int, parts: int, all_pairs: bool = F
         def out(kind: int, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(k.astype(np.int32))], names=["kind", "a", "b", "agree"])
 
+        def near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The i of those row pairs that are candidates, and how many bits agree."""
+            ok = (x[4][i] != x[4][j]) & (x[1][i] != x[1][j])
+            i, j = i[ok], j[ok]
+            apart = [np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int32) for f in x[2:4]]
+            same = 128 - apart[0] - apart[1]
+            return i[same >= agree], same[same >= agree]
+
         def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple | None:
             ok = x[4][i] != x[4][j]
             i, j = i[ok], j[ok]
@@ -148,14 +162,33 @@ def meet(rows: DataFrame, leaf: int, agree: int, parts: int, all_pairs: bool = F
         def small(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Whole nodes of at most leaf rows."""
             found = []
+            partner = np.arange(len(x[0]))
+            partners = np.zeros(len(x[0]), np.int32)
+            met = np.zeros(len(x[0]), bool)
             for d in range(1, leaf):
                 i = np.flatnonzero(x[0][d:] == x[0][:-d])
                 if not len(i):
                     break
-                if (p := pairs(x, i, i + d)) is not None:
-                    found.append(p)
+                i, same = near(x, i, i + d)
+                if first:
+                    partner[i + d] = i
+                    partners[i + d] += 1
+                    met[i] = met[i + d] = True
+                elif len(i):
+                    found.append((i, i + d, same))
+            if first:
+                j = np.flatnonzero(partners)
+                if not len(j):
+                    return
+                i, same = near(x, partner[j], j)
+                found = [(i, j, same)]
+                more = np.unique(x[0][j[partners[j] > 1]])
+                rest = np.isin(x[0], more) & met
+                if rest.any():
+                    yield out(2, x[0][rest], x[1][rest], np.zeros(int(rest.sum()), np.int32))
             if found:
-                a, b, k = (np.concatenate(f) for f in zip(*found))
+                i, j, k = (np.concatenate(f) for f in zip(*found))
+                a, b = np.minimum(x[1][i], x[1][j]), np.maximum(x[1][i], x[1][j])
                 order = np.lexsort((b, a))
                 a, b, k = a[order], b[order], k[order]
                 new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
@@ -229,11 +262,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = cut(sign(texts, words), "signed")
     classes = signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = cut(classes, "classes")
-    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, agree, parts), "met")
+    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, agree, parts, first=True), "met")
     pairs = met.where("kind = 0").select("a", "b", "agree")
     big = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
+    again = met.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("c"))
 
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(big.select("c")).distinct()
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(big.select("c")).union(again.select("c")).distinct()
     wanted = wanted.join(classes.select("c", "doc_id"), "c").where("doc_id is not null")
     sets = cut(_sets(texts.join(wanted, "doc_id").select("c", "text"), words), "sets")
 
@@ -242,14 +276,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut(confirm(first, sets, threshold), "links")
     comp = components(links)
 
-    more = pairs.select("a", "b")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members of nodes that have members of several components, with these and the tokens."""
+        rows = rows.join(comp, rows["c"] == comp["node"], "left").select(rows["node"], "c", F.coalesce("comp", "c").alias("comp"))
+        several = rows.groupBy(F.col("node").alias("m")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("m")
+        return rows.join(several, rows["node"] == several["m"], "left_semi").join(classes.select("c", "sig"), "c").select("node", "c", "sig", "comp")
+
+    step = cut(meet(descend(mixed(again), share, 0, None), leaf, agree, parts), "met")
+    more = pairs.select("a", "b").union(step.where("kind = 0").select("a", "b"))
     level = depth
     while not big.isEmpty():
-        rows = big.join(comp, big["c"] == comp["node"], "left").select(big["node"], "c", F.coalesce("comp", "c").alias("comp"))
-        mixed = rows.groupBy(F.col("node").alias("m")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("m")
-        rows = rows.join(mixed, rows["node"] == mixed["m"], "left_semi").join(classes.select("c", "sig"), "c")
         last = level + 3 >= deepest
-        step = cut(meet(descend(rows.select("node", "c", "sig", "comp"), share, 3, None), leaf, agree, parts, all_pairs=last), "met")
+        step = cut(meet(descend(mixed(big), share, 3, None), leaf, agree, parts, all_pairs=last), "met")
         more = more.union(step.where("kind = 0").select("a", "b"))
         big = step.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
         level += 3
