@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,16 @@ _made: list[str] = []
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the
-    lineage, and lost executors cost nothing that was written."""
+    lineage, and lost executors cost nothing that was written.  The shuffles
+    behind the table are deleted with the job's end."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, drop, shuffle_parts
 from .shingles import mix
 
 _U = np.uint64
@@ -289,27 +289,24 @@ def _cut_out(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, byt
 
 
 _FORMS = {"bytes": bytes, "sha256": lambda x: hashlib.sha256(x).digest(), "text": lambda x: x.decode("utf-8", "ignore").encode()}
-STATE = "kind int, doc long, n_bytes long, n_removed long, n_spans long, kept binary, gone binary, print long, at long"
-DONE, PENDING, WINDOW, AGAIN = 0, 1, 2, 3
+STATE = "done boolean, doc long, n_bytes long, n_removed long, n_spans long, kept binary, gone binary, borders binary"
 
 
 def _state(**cols) -> pa.RecordBatch:
     n = len(cols["doc"])
-    types = {"kind": pa.int32(), "doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "gone": pa.binary(), "print": pa.int64(), "at": pa.int64()}
+    types = {"done": pa.bool_(), "doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "gone": pa.binary(), "borders": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
 def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
     """Rows of STATE from doc, text, and the document's repeats and borders:
-    documents without borders are done; others wait, and send their windows."""
+    documents without borders are done; others wait with the places of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
         for whole in batches:
             for at_row in range(0, whole.num_rows, 256):
                 b = whole.slice(at_row, 256)
-                out: dict[str, list] = {c: [] for c in ("kind", "doc", "n_bytes", "n_removed", "n_spans", "kept", "gone")}
-                wins: list[tuple] = []
+                out: dict[str, list] = {c: [] for c in ("done", "doc", "n_bytes", "n_removed", "n_spans", "kept", "gone", "borders")}
                 for doc, text, ats in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     at = ats.values.to_numpy() if ats.is_valid else np.zeros(0, np.int64)
@@ -319,52 +316,75 @@ def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
                     border = ~fixed & (lo + n - 1 + span <= len(data))
                     if border.any():
                         start = np.unique(np.concatenate([np.arange(x, x + m) for x, m in zip(lo[border].tolist(), n[border].tolist())]))
-                        wins.append((doc, start, data))
-                        out["kind"].append(PENDING)
-                        out["n_removed"].append(None)
-                        out["n_spans"].append(None)
-                        out["kept"].append(data)
-                        out["gone"].append(np.stack([a, z]).tobytes())
+                        row = (False, doc, len(data), None, None, data, np.stack([a, z]).tobytes(), np.stack(_runs(start)).tobytes())
                     else:
                         removed, spans, kept = _cut_out(data, a, z)
-                        out["kind"].append(DONE)
-                        out["n_removed"].append(removed)
-                        out["n_spans"].append(spans)
-                        out["kept"].append(_FORMS[form](kept))
-                        out["gone"].append(None)
-                    out["doc"].append(doc)
-                    out["n_bytes"].append(len(data))
+                        row = (True, doc, len(data), removed, spans, _FORMS[form](kept), None, None)
+                    for c, v in zip(out, row):
+                        out[c].append(v)
                 yield _state(**out)
-                found: list[tuple] = []
-                for doc, start, data in wins:
+
+    return rows.mapInArrow(run, STATE)
+
+
+def _runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive numbers: their first ones and lengths."""
+    head = np.flatnonzero(np.r_[True, np.diff(start) != 1])
+    return start[head], np.diff(np.r_[head, len(start)])
+
+
+def _run_rows(doc: np.ndarray, at: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
+    """doc, at: runs of windows, first window << 12 | further windows."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    if not len(doc):
+        return
+    head = np.r_[True, (np.diff(at) != 1) | (doc[1:] != doc[:-1])]
+    head |= (np.arange(len(head)) - np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))) % step == 0
+    first = np.flatnonzero(head)
+    n = np.diff(np.r_[first, len(doc)])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first] << 12 | n - 1)], names=["doc", "at"])
+
+
+def _windows(pending: DataFrame, span: int, parts: int) -> DataFrame:
+    """doc, at: runs of windows at borders that start earlier elsewhere."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = Family()
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 64):
+                found = []
+                for doc, data, borders in zip(*(c.to_pylist() for c in whole.slice(at_row, 64).columns)):
+                    lo, n = np.frombuffer(borders, np.int64).reshape(2, -1)
+                    start = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     for at in range(0, len(data), CHUNK):  # pieces of a long document
                         s = start[(start >= at) & (start < at + CHUNK)] - at
                         if len(s):
                             fp = fingerprints(np.frombuffer(data[at : at + CHUNK + span], np.uint8), s, s + span)
-                            found.append((fp, np.full(len(s), doc, np.int64), s + at, fp))
+                            found.append((fp, np.full(len(s), doc, np.int64), s + at, np.zeros(len(s), np.uint64)))
                 if found:
                     family.add(*(np.concatenate(f) for f in zip(*found)))
         kept, again = family.finish()
         for i in range(0, len(kept[0]), 100_000):
-            yield _state(kind=np.full(len(kept[0][i : i + 100_000]), WINDOW), doc=kept[1][i : i + 100_000], print=kept[0][i : i + 100_000].view(np.int64), at=kept[2][i : i + 100_000])
-        for i in range(0, len(again[0]), 100_000):
-            yield _state(kind=np.full(len(again[0][i : i + 100_000]), AGAIN), doc=again[1][i : i + 100_000], at=again[2][i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(f[i : i + 100_000].view(np.int64)) for f in kept[:3]], names=["print", "doc", "at"])
+        for r in _run_rows(again[1], again[2]):  # settled: no print, dealt by place
+            key = mix(r.column(0).to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), r.column(0), pa.array(~r.column(1).to_numpy())], names=["print", "doc", "at"])
 
-    return rows.mapInArrow(run, STATE)
-
-
-def _windows(rows: DataFrame, parts: int) -> DataFrame:
-    """doc, at of the windows that start earlier elsewhere."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for b in batches:
             print_, doc, at = (b.column(i).to_numpy() for i in range(3))
-            family.add(print_.view(np.uint64), doc, at, print_.view(np.uint64))
+            settled = at < 0
+            if settled.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[settled]), pa.array(~at[settled])], names=["doc", "at"])
+            if not settled.all():
+                family.add(print_[~settled].view(np.uint64), doc[~settled], at[~settled], print_[~settled].view(np.uint64))
         _, again = family.finish()
-        yield pa.RecordBatch.from_arrays([pa.array(again[1]), pa.array(again[2])], names=["doc", "at"])
+        yield from _run_rows(again[1], again[2])
 
-    return rows.repartition(parts, "print").mapInArrow(run, "doc long, at long")
+    sent = pending.select("doc", "kept", "borders").mapInArrow(local, "print long, doc long, at long")
+    return sent.repartition(parts, "print").mapInArrow(merged, "doc long, at long")
 
 
 def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
@@ -372,19 +392,19 @@ def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
         for whole in batches:
             for at_row in range(0, whole.num_rows, 256):
                 b = whole.slice(at_row, 256)
-                out: dict[str, list] = {c: [] for c in ("kind", "doc", "n_bytes", "n_removed", "n_spans", "kept")}
+                out: dict[str, list] = {c: [] for c in ("done", "doc", "n_bytes", "n_removed", "n_spans", "kept")}
                 for doc, data, gone, ats in zip(*(c.to_pylist() for c in b.columns)):
                     a, z = np.frombuffer(gone, np.int64).reshape(2, -1)
                     s = np.array(ats or [], np.int64)
-                    removed, spans, kept = _cut_out(data, np.concatenate([a, s]), np.concatenate([z, s + span]))
-                    for c, v in zip(out, (DONE, doc, len(data), removed, spans, _FORMS[form](kept))):
+                    removed, spans, kept = _cut_out(data, np.concatenate([a, s >> 12]), np.concatenate([z, (s >> 12) + (s & 4095) + span]))
+                    for c, v in zip(out, (True, doc, len(data), removed, spans, _FORMS[form](kept))):
                         out[c].append(v)
                 yield _state(**out)
 
     return rows.mapInArrow(run, STATE)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 32, form: str = "bytes") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 48, form: str = "bytes") -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept of every document.
 
     kept is by form the remaining "bytes", their "sha256", or as "text" those of
@@ -396,11 +416,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = cut(_global(_local(texts, span, k), parts), "marks")
     own = marks.groupBy("doc").agg(F.collect_set("at").alias("ats"))  # as many as the document's length allows
     state = cut(_apply(texts.join(own, "doc", "left").select("doc", "text", "ats"), span, form), "state")
-    again = _windows(state.where(f"kind = {WINDOW}").select("print", "doc", "at"), parts)
-    again = again.union(state.where(f"kind = {AGAIN}").select("doc", "at")).groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    pending = state.where(f"kind = {PENDING}").select("doc", "kept", "gone")
-    late = _finish(pending.join(again, "doc", "left").select("doc", "kept", "gone", "ats"), span, form)
-    return state.where(f"kind = {DONE}").union(late).select("doc", "n_bytes", "n_removed", "n_spans", "kept")
+    drop(marks)
+    pending = state.where("not done")
+    again = cut(_windows(pending, span, parts), "again").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    late = _finish(pending.select("doc", "kept", "gone").join(again, "doc", "left"), span, form)
+    return state.where("done").union(late).select("doc", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(documents: DataFrame) -> DataFrame:
