@@ -130,7 +130,7 @@ class Query(Link):
         if not self.query:
             self.logger.warning("an empty query keeps all rows")
             return df
-        return ctx.where(df, expr.condition(df, self.query))
+        return ctx.where(df, *expr.condition(df, self.query))
 
 
 @register

@@ -59,8 +59,11 @@ class Context:
         seen = set(self.visible(df))
         return [c for c in df.columns if c not in seen]
 
-    def where(self, df: DataFrame, condition: Column) -> DataFrame:
-        return df.where(condition) if self.keep is None else df.withColumn(self.keep, F.col(self.keep) & condition)
+    def where(self, df: DataFrame, condition: Column, loose: Column | None = None) -> DataFrame:
+        """Rows that meet a condition; loose is the same for filters, where null is false."""
+        if self.keep is None:
+            return df.where(condition if loose is None else loose)
+        return df.withColumn(self.keep, F.col(self.keep) & condition)
 
 
 def c(name: str) -> Column:

@@ -53,10 +53,15 @@ def _masked(text: str) -> tuple[str, dict[str, str]]:
 
 
 class Value:
-    """A Column and its kind: num (int or float), str, bool, list or other."""
+    """A Column and its kind: num (int or float), str, bool, list or other.
 
-    def __init__(self, col: Column | None, kind: str, whole: bool = False, items: list | None = None, nullable: bool = True):
-        self.col, self.kind, self.whole, self.items, self.nullable = col, kind, whole, items, nullable
+    raw: a float column as it is stored, where col has NaN as null.
+    loose: a condition that may be null where it is false; it is for filters,
+    which then reach the scan."""
+
+    def __init__(self, col: Column | None, kind: str, whole: bool = False, items: list | None = None, raw: Column | None = None, loose: Column | None = None):
+        self.col, self.kind, self.whole, self.items, self.raw = col, kind, whole, items, raw
+        self.loose = col if loose is None else loose
 
 
 def _kind(t: T.DataType) -> tuple[str, bool]:
@@ -112,14 +117,15 @@ class Compiler:
                 raise ExpressionError(f"no column {name!r}")
         self.reads.add(name)
         kind, whole = _kind(self.types[name])
-        col = c(name)
+        col, raw = c(name), None
         if isinstance(self.types[name], (T.FloatType, T.DoubleType)):
+            raw = col
             col = F.nanvl(col.cast("double"), F.lit(None).cast("double"))
         elif isinstance(self.types[name], T.DecimalType):
             col = col.cast("double")
         elif whole:
             col = col.cast("long")
-        return Value(col, kind, whole)
+        return Value(col, kind, whole, raw=raw)
 
     def _go(self, n: ast.AST) -> Value:
         handler = getattr(self, f"_{type(n).__name__.lower()}", None)
@@ -164,8 +170,9 @@ class Compiler:
         return F.coalesce(v.col, F.lit(False))
 
     def _boolop(self, n: ast.BoolOp) -> Value:
-        parts = [self._truth(self._go(x)) for x in n.values]
-        return Value(reduce(lambda a, b: a & b if isinstance(n.op, ast.And) else a | b, parts), "bool")
+        parts = [self._go(x) for x in n.values]
+        join = lambda cols: reduce(lambda a, b: a & b if isinstance(n.op, ast.And) else a | b, cols)
+        return Value(join([self._truth(p) for p in parts]), "bool", loose=join([p.loose for p in parts]))
 
     def _unaryop(self, n: ast.UnaryOp) -> Value:
         v = self._go(n.operand)
@@ -178,25 +185,32 @@ class Compiler:
     def _compare(self, n: ast.Compare) -> Value:
         sides = [self._go(x) for x in (n.left, *n.comparators)]
         parts = [self._pair(op, a, b) for op, a, b in zip(n.ops, sides, sides[1:])]
-        return Value(reduce(lambda a, b: a & b, parts), "bool")
+        both = lambda cols: reduce(lambda a, b: a & b, cols)
+        return Value(both([F.coalesce(p, F.lit(False)) for p in parts]), "bool", loose=both(parts))
 
     def _pair(self, op: ast.cmpop, a: Value, b: Value) -> Column:
+        """True or not; null counts as false."""
         if isinstance(op, (ast.In, ast.NotIn)) or b.kind == "list" and isinstance(op, (ast.Eq, ast.NotEq)):
             if b.kind != "list":
                 raise ExpressionError("in needs a list")
             fit = [x.col for x in b.items if x.kind == a.kind]
-            found = F.coalesce(a.col.isin(*fit), F.lit(False)) if fit else F.lit(False)
-            return found if isinstance(op, (ast.In, ast.Eq)) else ~found
+            one = a.col if a.raw is None else a.raw
+            found = one.isin(*fit) if fit else F.lit(False)
+            return found if isinstance(op, (ast.In, ast.Eq)) else ~F.coalesce(found, F.lit(False))
         if a.kind != b.kind:
             if isinstance(op, (ast.Eq, ast.NotEq)):
                 return F.lit(isinstance(op, ast.NotEq))
             raise ExpressionError(f"{a.kind} and {b.kind} have no order")
         if isinstance(op, ast.NotEq):
             return F.coalesce(a.col != b.col, F.lit(True))
-        col = {ast.Eq: lambda: a.col == b.col, ast.Lt: lambda: a.col < b.col, ast.LtE: lambda: a.col <= b.col, ast.Gt: lambda: a.col > b.col, ast.GtE: lambda: a.col >= b.col}.get(type(op))
-        if col is None:
+        x, y = a.col if a.raw is None else a.raw, b.col if b.raw is None else b.raw
+        # NaN is above all numbers and equal to itself in Spark: only where that matters is it looked for
+        upper = {ast.Lt: b, ast.LtE: b, ast.Gt: a, ast.GtE: a, ast.Eq: a if b.raw is not None else None}.get(type(op))
+        made = {ast.Eq: lambda: x == y, ast.Lt: lambda: x < y, ast.LtE: lambda: x <= y, ast.Gt: lambda: x > y, ast.GtE: lambda: x >= y}.get(type(op))
+        if made is None:
             raise ExpressionError(f"{type(op).__name__} is not supported")
-        return F.coalesce(col(), F.lit(False))
+        guarded = upper is not None and upper.raw is not None
+        return made() & ~F.isnan(upper.raw) if guarded else made()
 
     # -- arithmetic
 
@@ -296,8 +310,9 @@ class Compiler:
         raise ExpressionError(f"no string method {name!r}")
 
 
-def condition(df: DataFrame, text: str) -> Column:
+def condition(df: DataFrame, text: str) -> tuple[Column, Column]:
+    """A condition that is true or false, and one for filters, which may be null for false."""
     v = Compiler(df).value(text)
     if v.kind != "bool":
         raise ExpressionError(f"{text!r} is no condition")
-    return F.coalesce(v.col, F.lit(False))
+    return F.coalesce(v.col, F.lit(False)), v.loose
