@@ -78,42 +78,52 @@ def _stream(key: str, kind: Column, canon: Column, attempt: Column, chars: Colum
     return F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 512)), "")
 
 
-def _draw(stream: Column, at: Column, n: int | Column) -> Column:
+def _draw(stream: Column, at: Column, n: Column) -> Column:
     """The at-th number below n of a stream."""
-    return F.pmod(F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int"), n if isinstance(n, Column) else F.lit(n))
+    return F.pmod(F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int"), n)
 
 
-def _letter(c: Column, stream: Column, at: Column) -> Column:
-    """A character of c's class: digit, case and script stay."""
+def _letters(first: str, n: int, step: int = 1) -> str:
+    return "".join(chr(ord(first) + step * i) for i in range(n))
 
-    def among(first: str, n: int) -> Column:
-        return F.chr(F.lit(ord(first)) + _draw(stream, at, n)) if ord(first) < 256 and ord(first) + n <= 256 else pick("".join(chr(ord(first) + i) for i in range(n)))
 
-    def pick(letters: str) -> Column:
-        return F.substring(F.lit(letters), _draw(stream, at, len(letters)) + 1, F.lit(1))
+# classes of characters that stand in for each other: digit, script and case stay
+CLASSES = [
+    ("[0-9]", _letters("0", 10)),
+    ("[a-z]", _letters("a", 26)),
+    ("[A-Z]", _letters("A", 26)),
+    (r"[\p{IsLatin}&&\p{Ll}]", "áàâäãåçéèêëíìîïñóòôöõúùûüý"),
+    (r"[\p{IsLatin}&&\p{Lu}]", "ÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"),
+    (r"[\p{IsCyrillic}&&\p{Ll}]", _letters("а", 32)),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", _letters("А", 32)),
+    (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsHan}", _letters(chr(0x4E00), 200, 37)),
+    (r"[\p{IsKatakana}\p{IsHiragana}]", _letters(chr(0x30A2), 80)),
+]
 
-    han = "".join(chr(0x4E00 + 37 * i) for i in range(200))
-    kana = "".join(chr(0x30A2 + i) for i in range(80))
-    return (
-        F.when(F.rlike(c, F.lit("[0-9]")), pick("0123456789"))
-        .when(F.rlike(c, F.lit("[a-z]")), among("a", 26))
-        .when(F.rlike(c, F.lit("[A-Z]")), among("A", 26))
-        .when(F.rlike(c, F.lit(r"[\p{IsLatin}&&\p{Ll}]")), pick("áàâäãåçéèêëíìîïñóòôöõúùûüý"))
-        .when(F.rlike(c, F.lit(r"[\p{IsLatin}&&\p{Lu}]")), pick("ÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"))
-        .when(F.rlike(c, F.lit(r"[\p{IsCyrillic}&&\p{Ll}]")), among("а", 32))
-        .when(F.rlike(c, F.lit(r"[\p{IsCyrillic}&&\p{Lu}]")), among("А", 32))
-        .when(F.rlike(c, F.lit(r"[\p{IsGreek}&&\p{Ll}]")), pick("αβγδεζηθικλμνξοπρστυφχψω"))
-        .when(F.rlike(c, F.lit(r"[\p{IsGreek}&&\p{Lu}]")), pick("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"))
-        .when(F.rlike(c, F.lit(r"\p{IsHan}")), pick(han))
-        .when(F.rlike(c, F.lit(r"[\p{IsKatakana}\p{IsHiragana}]")), pick(kana))
-        .otherwise(c)
-    )
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
-def _mapped(m: Column, stream: Column, shift: Column | None = None) -> Column:
-    """m with every letter and digit drawn anew; the k-th takes the k-th number of the stream."""
-    index = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i), ALNUM, ""))
-    return F.when(F.length(m) == 0, m).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: _letter(F.substring(m, i, F.lit(1)), stream, index(i) + (shift if shift is not None else 0))), ""))
+
+def _mapped(m: Column, stream: Column, only: Column) -> Column:
+    """m with every letter and digit drawn anew, from `only` where that is not
+    null; the k-th takes the k-th number of the stream."""
+
+    def one(i: Column) -> Column:
+        at = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), ALNUM, ""))
+
+        def among(c: Column) -> Column:
+            kinds = F.lit(None).cast("string")
+            for pattern, letters in reversed(CLASSES):
+                kinds = F.when(F.rlike(c, F.lit(pattern)), F.coalesce(only, F.lit(letters))).otherwise(kinds)
+            return _let(kinds, lambda letters: F.when(letters.isNull(), c).otherwise(F.substring(letters, _draw(stream, at, F.length(letters)) + 1, F.lit(1))))
+
+        return _let(F.substring(m, i, F.lit(1)), among)
+
+    return F.when(F.length(m) == 0, m).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), ""))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -132,52 +142,47 @@ def _last_digit(text: Column, digit: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), digit.cast("string"))
 
 
-def _card(m: Column, stream: Column) -> Column:
-    kept = F.concat(F.substring(m, F.lit(1), F.lit(1)), F.substring(_mapped(m, stream), F.lit(2), F.length(m)))
-    digits = F.regexp_replace(m, r"\D", "")
-    check = lambda d: F.pmod(10 - F.pmod(_luhn_sum(F.substring(d, F.lit(1), F.length(d) - 1)), F.lit(10)), F.lit(10))
-    made = F.regexp_replace(kept, r"\D", "")
-    valid = check(digits) == F.substring(digits, F.length(digits), F.lit(1)).cast("int")
-    return F.when(valid, _last_digit(kept, check(made))).otherwise(kept)
+def _checked(m: Column, made: Column) -> Column:
+    """made with a last digit that is valid by the Luhn rule, if m's is."""
+
+    def check(d: Column) -> Column:
+        return F.pmod(10 - F.pmod(_luhn_sum(F.substring(d, F.lit(1), F.length(d) - 1)), F.lit(10)), F.lit(10))
+
+    digits = lambda x: F.regexp_replace(x, r"\D", "")
+    valid = _let(digits(m), lambda d: check(d) == F.substring(d, F.length(d), F.lit(1)).cast("int"))
+    return F.when(valid, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), _let(digits(made), check).cast("string"))).otherwise(made)
 
 
 def _name(m: Column, stream: Column) -> Column:
     title = F.regexp_extract(m, r"\A(\S+ )", 1)
-    rest = F.substring(m, F.length(title) + 1, F.length(m))
-    words = F.split(rest, " ")
-    cyrillic = F.rlike(rest, F.lit(r"\p{IsCyrillic}"))
-    female = F.rlike(title, F.lit(rf"\A(?:{FEMALE})\.? "))
-    given = lambda script, g: F.element_at(F.array(*map(F.lit, GIVEN[script, g])), _draw(stream, F.lit(0), len(GIVEN[script, g])) + 1)
-    first = F.when(cyrillic, F.when(female, given("cyrillic", "f")).otherwise(given("cyrillic", "m"))).otherwise(F.when(female, given("latin", "f")).otherwise(given("latin", "m")))
-    parts = lambda script: F.concat(*(F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _draw(stream, F.lit(k), len(SYLLABLES[script])) + 1) for k in range(1, 6)))
-    family = F.initcap(F.when(cyrillic, F.concat(parts("cyrillic"), F.when(female, F.lit("ова")).otherwise(F.lit("ов")))).otherwise(parts("latin")))
-    made = F.when(F.size(words) > 1, F.concat(first, F.lit(" "), family)).otherwise(family)
-    return F.concat(title, F.when((rest == F.upper(rest)) & (F.length(rest) > 2), F.upper(made)).otherwise(made))
+    female = F.rlike(m, F.lit(rf"\A(?:{FEMALE})\.? "))
+    literal = lambda xs: F.array(*map(F.lit, xs))
+
+    def made(rest: Column) -> Column:
+        cyrillic = F.rlike(rest, F.lit(r"\p{IsCyrillic}"))
+        given = F.when(cyrillic & female, literal(GIVEN["cyrillic", "f"])).when(cyrillic, literal(GIVEN["cyrillic", "m"])).when(female, literal(GIVEN["latin", "f"])).otherwise(literal(GIVEN["latin", "m"]))
+        pick = lambda k: lambda xs: F.element_at(xs, _draw(stream, k, F.size(xs)) + 1)
+        parts = _let(F.when(cyrillic, literal(SYLLABLES["cyrillic"])).otherwise(literal(SYLLABLES["latin"])), lambda xs: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: pick(k)(xs)), ""))
+        family = F.initcap(F.concat(parts, F.when(cyrillic & female, F.lit("ова")).when(cyrillic, F.lit("ов")).otherwise(F.lit(""))))
+        whole = F.concat(F.when(F.contains(rest, F.lit(" ")), F.concat(_let(given, pick(F.lit(0))), F.lit(" "))).otherwise(F.lit("")), family)
+        return F.when((rest == F.upper(rest)) & (F.length(rest) > 2), F.upper(whole)).otherwise(whole)
+
+    return F.concat(title, _let(F.substring(m, F.length(title) + 1, F.length(m)), made))
 
 
 def surrogate(m: Column, kind: Column, attempt: Column, key: str) -> Column:
     """What a mention is replaced with."""
+    # kept at the front: country code, issuer digit, key prefix; at the end: top-level domain
+    front = F.when(kind == "phone", F.regexp_extract(m, r"\A(\+\d+)", 1)).when(kind == "card", F.substring(m, F.lit(1), F.lit(1))).when(kind.isin("secret", "iban"), F.regexp_extract(m, r"\A(AKIA|[a-z]{2,4}[-_]|[A-Z]{2}(?![0-9A-F]+\z))", 1)).otherwise(F.lit(""))
+    end = F.when(kind == "email", F.regexp_extract(m, r"(\.[^.]*)\z", 1)).otherwise(F.lit(""))
+    hexed = F.when(kind == "secret", F.when(F.rlike(m, F.lit(r"\A[0-9a-f]+\z")), F.lit("0123456789abcdef")).when(F.rlike(m, F.lit(r"\A[0-9A-F]+\z")), F.lit("0123456789ABCDEF")))
 
     def made(stream: Column) -> Column:
-        tail = F.regexp_extract(m, r"(\.[^.]*)\z", 1)  # an address's top-level domain
-        body = F.substring(m, F.lit(1), F.length(m) - F.length(tail))
-        octets = F.array_join(F.transform(F.split(m, r"\."), lambda _, i: (1 + _draw(stream, i, 254)).cast("string")), ".")
-        country = F.regexp_extract(m, r"\A(\+\d+)", 1)
-        number = F.concat(country, _mapped(F.substring(m, F.length(country) + 1, F.length(m)), stream))
-        prefix = F.regexp_extract(m, r"\A(AKIA|[a-z]{2,4}[-_]|[A-Z]{2})", 1)
-        hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(F.when(F.rlike(m, F.lit("[a-f]")), F.lit("0123456789abcdef")).otherwise(F.lit("0123456789ABCDEF")), _draw(stream, i, 16) + 1, F.lit(1))), "")
-        return (
-            F.when(kind == "email", F.concat(_mapped(body, stream), tail))
-            .when(kind == "ip", octets)
-            .when(kind == "phone", number)
-            .when(kind == "card", _card(m, stream))
-            .when(kind == "name", _name(m, stream))
-            .when((kind == "secret") & F.rlike(m, F.lit(r"\A[0-9a-fA-F]+\z")), hexed)
-            .when(kind.isin("secret", "iban"), F.concat(prefix, _mapped(F.substring(m, F.length(prefix) + 1, F.length(m)), stream)))
-            .otherwise(_mapped(m, stream))
-        )
-
-    return F.transform(F.array(_stream(key, kind, canonical(m, kind), attempt, F.length(m))), made)[0]
+        middle = lambda a: _let(end, lambda z: F.concat(a, _mapped(F.substring(m, F.length(a) + 1, F.length(m) - F.length(a) - F.length(z)), stream, hexed), z))
+        octets = F.array_join(F.transform(F.split(m, r"\."), lambda _, i: (1 + _draw(stream, i, F.lit(254))).cast("string")), ".")
+        return F.when(kind == "ip", octets).when(kind == "name", _name(m, stream)).otherwise(_let(_let(front, middle), lambda x: F.when(kind == "card", _checked(m, x)).otherwise(x)))
+
+    return _let(_stream(key, kind, canonical(m, kind), attempt, F.length(m)), made)
 
 
 def mentions(text: Column) -> Column:

@@ -7,8 +7,8 @@ earlier probabilities are from models that have not seen it, so a later model
 learns how far an earlier one is to be trusted on new documents.
 
 Training uses at most `max_train` labelled documents, those with the least
-hash of their id; it is the one bounded sample here, and what goes to the
-driver (hashed words of these documents) is bounded by it.  Every document is
+hash of their id; it is the one bounded sample here.  One task trains on the
+hashed words of these documents, and the weights go to the driver.  Every document is
 scored, each by its whole text.
 
 Defined results: a null or empty text has no words and is scored by its shape
@@ -18,6 +18,7 @@ one class in the sample, its probability is that class's.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -148,17 +149,30 @@ def fit(documents: DataFrame, labels: DataFrame, categories: list[str], *, id_co
             found = [features(t, memo) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float64()))], names=["h", *(f"y{i}" for i in range(n)), "words", "shapes"])
 
-    got = rows.select("t", key.alias("h"), *(f"y{i}" for i in range(n))).mapInArrow(run, f"h long, {', '.join(f'y{i} int' for i in range(n))}, words array<int>, shapes array<double>").toArrow()
-    if not got.num_rows:
-        empty = np.zeros((1, SHAPES))
-        return train([np.zeros(0, np.int32)], empty, np.zeros((1, n)), np.zeros(1))
-    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    names = [f"y{i}" for i in range(n)]
+    found = rows.select("t", key.alias("h"), *names).mapInArrow(run, f"h long, {', '.join(f'{y} int' for y in names)}, words array<int>, shapes array<double>")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        chain = _trained(pa.Table.from_batches(got) if got else None, names, folds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([tuple(m) for m in chain])], pa.binary())], names=["model"])
+
+    # one task trains on the bounded sample; the driver gets the weights
+    (row,) = found.repartition(1).mapInArrow(learn, "model binary").collect()
+    return [Model(*m) for m in pickle.loads(row["model"])]  # noqa: S301  made just now
+
+
+def _trained(got: pa.Table | None, names: list[str], folds: int) -> list[Model]:
+    if got is None or not got.num_rows:
+        return train([np.zeros(0, np.int32)], np.zeros((1, SHAPES)), np.zeros((1, len(names))), np.zeros(1))
+    hashed = got["h"].to_numpy()
+    order = np.argsort(hashed, kind="stable")
     words = got["words"].combine_chunks()
     flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
     docs = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
-    shapes = np.array(got["shapes"].to_pylist())[order]
-    y = np.column_stack([got[f"y{i}"].to_numpy() for i in range(n)])[order]
-    return train(docs, shapes, y, (got["h"].to_numpy()[order].view(np.uint64) >> np.uint64(7)) % np.uint64(folds))
+    shapes = got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)[order]
+    y = np.column_stack([got[c].to_numpy() for c in names])[order]
+    return train(docs, shapes, y, (hashed[order].view(np.uint64) >> np.uint64(7)) % np.uint64(folds))
 
 
 def score(documents: DataFrame, chain: list[Model], categories: list[str], *, text_col: str = "text", prefix: str = "p_") -> DataFrame:
