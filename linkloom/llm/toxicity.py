@@ -87,7 +87,8 @@ def _matrix(docs: list[np.ndarray], shapes: np.ndarray, earlier: np.ndarray, m:
             at = np.searchsorted(m.buckets, d)
             hit = at[(at < k) & (m.buckets[np.minimum(at, k - 1)] == d)]
             x[i, hit] = 1
-    x[:, k : k + SHAPES] = (shapes - m.center) / m.scale
+    # clipped: an odd shape alone says no more than the oddest ones seen
+    x[:, k : k + SHAPES] = np.clip((shapes - m.center) / m.scale, -2.5, 2.5)
     x[:, k + SHAPES : -1] = earlier
     x[:, -1] = 1
     return x
