@@ -10,16 +10,17 @@ pairs above the threshold keep meeting while others part at every level.
 * A node of at most `leaf` members is compared exhaustively, on one-bit
   sketches of 128 minwise tokens; the sketch test is set 4.5 standard
   deviations below the threshold.  In a group of copies every pair would be a
-  candidate, so a member first passes on one of its own only, and the node
-  meets again later, for pairs between different components.
-* A larger node compares its members with one of them, and, unless they then
-  all lie in one component, branches on; only members of different components
-  need be compared with each other from there.  What is still large after
-  `deepest` levels is compared in blocks, all of it.
-
-Links are confirmed on whole shingle sets: first at most two for each class
-(they join nearly all of a component), then every remaining candidate between
-different components.  Only classes with a candidate have their sets read.
+  candidate, so a member first passes on the most central of its own only, and
+  the node meets again later, for pairs between different components.
+* A larger node compares its members with its most central one.  Unless they
+  then all lie in one component, only members of different components need be
+  compared with each other: at once where few lie outside the main one,
+  otherwise further down the tree.  What is still large after `deepest` levels
+  is compared in blocks, all of it.
+
+Links are confirmed on whole shingle sets: after each step at most two for each
+class (they join nearly all of a component), and in the end every remaining
+candidate between different components.  Only classes with a candidate have their sets read.
 Components come from alternating stars; nothing of per-document size reaches
 the driver.
 
@@ -103,7 +104,7 @@ def sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def descend(rows: DataFrame, threshold: float, levels: int, trees: int | None) -> DataFrame:
-    """node, c, s0, s1: where members stand `levels` further down; from the
+    """node, c, sketches, component: where members stand `levels` further down; from the
     roots of `trees` trees, or from the rows' own nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,109 +121,155 @@ def descend(rows: DataFrame, threshold: float, levels: int, trees: int | None) -
                 for _ in range(levels):
                     node, member = branch(node, member, sig, threshold)
                 s0, s1 = sketch(sig)
-                extra = [] if trees else [b.column("comp").take(pa.array(member))]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(c[member]), pa.array(s0[member]), pa.array(s1[member]), *(extra or [pa.array(c[member])])], names=["node", "c", "s0", "s1", "comp"])
+                at = pa.array(member)
+                # from the roots on, sketches alone; later a byte of every token too, and components
+                more = [pa.nulls(len(at), pa.binary()), pa.array(c[member])] if trees else [pa.array([x.tobytes() for x in (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)], pa.binary()).take(at), b.column("comp").take(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(c[member]), pa.array(s0[member]), pa.array(s1[member]), *more], names=["node", "c", "s0", "s1", "bytes", "comp"])
 
-    return rows.mapInArrow(run, "node long, c long, s0 long, s1 long, comp long")
+    return rows.mapInArrow(run, "node long, c long, s0 long, s1 long, bytes binary, comp long")
 
 
-def meet(rows: DataFrame, leaf: int, agree: int, parts: int, first: bool = False, all_pairs: bool = False) -> DataFrame:
+def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool = False, last: bool = False, hold: int = 16384) -> DataFrame:
     """Rows of MET from nodes: kind 0, a candidate pair a < b and how many of
     128 bits agree; kind 1, a member b of a large node a, to branch further.
 
-    first: a small node gives each member its candidate of least class only;
-    where there are more, its members come as kind 2, to meet again once it is
-    known which of them lie in one component.
-    all_pairs: large nodes are compared in blocks instead of branching."""
+    first: a member gives only its most central candidate, the one nearest to
+    what most members of the node have; where a small node has more, its
+    members come as kind 2, to meet again once it is known which of them lie
+    in one component.
+    Otherwise: candidates of different components.  A large node is compared
+    at once, all of it, if at most leaf of its members lie outside its main
+    component, or if this is the last level; what exceeds hold rows branches,
+    and on the last level is compared in blocks."""
+    agree, same_bytes = _least((1 + threshold) / 2), _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        big_node, pivot, seen = None, None, None
+        big_node, pivot, seen, branching = None, None, None, False
 
         def out(kind: int, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(k.astype(np.int32))], names=["kind", "a", "b", "agree"])
 
-        def near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The i of those row pairs that are candidates, and how many bits agree."""
+        def near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Those of the row pairs i, j that are candidates, and how many bits agree."""
             ok = (x[4][i] != x[4][j]) & (x[1][i] != x[1][j])
             i, j = i[ok], j[ok]
             apart = [np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int32) for f in x[2:4]]
             same = 128 - apart[0] - apart[1]
-            return i[same >= agree], same[same >= agree]
-
-        def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple | None:
-            ok = x[4][i] != x[4][j]
-            i, j = i[ok], j[ok]
-            apart = [np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int32) for f in x[2:4]]
-            same = 128 - apart[0] - apart[1]
-            ok = (same >= agree) & (x[1][i] != x[1][j])
+            ok = same >= agree
             i, j, same = i[ok], j[ok], same[ok]
-            return (np.minimum(x[1][i], x[1][j]), np.maximum(x[1][i], x[1][j]), same) if len(i) else None
+            if not first and len(i):
+                ok = (x[5][i] == x[5][j]).sum(axis=1) >= same_bytes
+                i, j, same = i[ok], j[ok], same[ok]
+            return i, j, same
+
+        def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(i):
+                a, b = np.minimum(x[1][i], x[1][j]), np.maximum(x[1][i], x[1][j])
+                order = np.lexsort((b, a))
+                a, b, same = a[order], b[order], same[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                yield out(0, a[new], b[new], same[new])
+
+        def central(x: list[np.ndarray]) -> np.ndarray:
+            """How many of a row's bits are those of most rows of its node."""
+            starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
+            n = np.diff(np.r_[starts, len(x[0])])
+            bits = np.unpackbits(np.stack([x[2], x[3]], axis=1).view(np.uint8), axis=1)
+            most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) >= n[:, None]
+            return (bits == np.repeat(most, n, axis=0)).sum(axis=1)
 
         def small(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Whole nodes of at most leaf rows."""
-            found = []
-            partner = np.arange(len(x[0]))
-            partners = np.zeros(len(x[0]), np.int32)
-            met = np.zeros(len(x[0]), bool)
+            found, n = [], len(x[0])
+            if not n:
+                return
+            partner, partners, met = np.full(n, -1), np.zeros(n, np.int32), np.zeros(n, bool)
+            cen = central(x) if first else None
             for d in range(1, leaf):
                 i = np.flatnonzero(x[0][d:] == x[0][:-d])
                 if not len(i):
                     break
-                i, same = near(x, i, i + d)
-                if first:
-                    partner[i + d] = i
-                    partners[i + d] += 1
-                    met[i] = met[i + d] = True
-                elif len(i):
-                    found.append((i, i + d, same))
+                i, j, same = near(x, i, i + d)
+                if not first:
+                    found.append((i, j, same))
+                    continue
+                met[i] = met[j] = True
+                up = cen[i] >= cen[j]
+                for hub, own in ((i[up], j[up]), (j[~up], i[~up])):
+                    partners[own] += 1
+                    better = (partner[own] < 0) | (cen[hub] > cen[partner[own]])
+                    partner[own[better]] = hub[better]
             if first:
-                j = np.flatnonzero(partners)
-                if not len(j):
-                    return
-                i, same = near(x, partner[j], j)
-                found = [(i, j, same)]
-                more = np.unique(x[0][j[partners[j] > 1]])
-                rest = np.isin(x[0], more) & met
+                j = np.flatnonzero(partner >= 0)
+                found = [near(x, partner[j], j)]
+                rest = np.isin(x[0], np.unique(x[0][partners > 1])) & met
                 if rest.any():
                     yield out(2, x[0][rest], x[1][rest], np.zeros(int(rest.sum()), np.int32))
             if found:
-                i, j, k = (np.concatenate(f) for f in zip(*found))
-                a, b = np.minimum(x[1][i], x[1][j]), np.maximum(x[1][i], x[1][j])
-                order = np.lexsort((b, a))
-                a, b, k = a[order], b[order], k[order]
-                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-                yield out(0, a[new], b[new], k[new])
+                yield from pairs(x, *(np.concatenate(f) for f in zip(*found)))
 
         def large(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Rows of one large node, with its first row as pivot."""
-            nonlocal seen
-            if all_pairs:
-                seen = x if seen is None else [np.concatenate(f) for f in zip(seen, x)]
-                n, new = len(seen[0]), len(x[0])
-                for r in range(n - new, n):
-                    if (p := pairs(seen, np.arange(r), np.full(r, r))) is not None:
-                        yield out(0, *p)
+            """Rows of one large node; pivot is a row of it that came before."""
+            nonlocal seen, pivot, branching
+            if first:  # stars around the most central rows
+                at = int(np.argmax(central(x)))
+                hub = [f[at : at + 1] for f in x]
+                y = [np.concatenate(f) for f in zip(hub, pivot, x)]
+                yield from pairs(y, *near(y, np.zeros(len(y[0]) - 1, np.int64), np.arange(1, len(y[0]))))
+                pivot = hub
+                yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
+                return
+            seen = x if seen is None else [np.concatenate(f) for f in zip(seen, x)]
+            if len(seen[0]) > hold and not last:
+                branching = True
+            if branching:
+                yield out(1, seen[0], seen[1], np.zeros(len(seen[0]), np.int32))
+                seen = [f[:0] for f in seen]
+            elif last and len(seen[0]) > hold:
+                new = len(x[0])
+                yield from across(seen, np.arange(len(seen[0]) - new, len(seen[0])))
+
+        def across(x: list[np.ndarray], some: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Candidates between some of the rows and all."""
+            every = np.arange(len(x[0]))
+            for at in range(0, len(some), 16):
+                few = some[at : at + 16]
+                yield from pairs(x, *near(x, np.repeat(few, len(every)), np.tile(every, len(few))))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """A large node has come to its end."""
+            nonlocal seen, branching
+            x, went = seen, branching
+            seen, branching = None, False
+            if first or x is None or not len(x[0]) or went or last and len(x[0]) > hold:
                 return
-            if int(x[0][0]) & 3 == 0:  # a quarter of the nodes make stars: each member is in many nodes
-                y = [np.concatenate([p, q]) for p, q in zip(pivot, x)]
-                if (p := pairs(y, np.zeros(len(x[0]), np.int64), np.arange(1, len(y[0])))) is not None:
-                    yield out(0, *p)
-            yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
+            comp, n = np.unique(x[4], return_counts=True)
+            minor = np.flatnonzero(x[4] != comp[np.argmax(n)])
+            if len(minor) <= leaf or last:
+                yield from across(x, minor)
+            else:
+                yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
+
+        def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+            x = [b.column(n).to_numpy() for n in ("node", "c", "s0", "s1", "comp")]
+            return x if first else [*x, np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8).reshape(-1, T)]
 
         for b in batches:
-            x = [b.column(i).to_numpy() for i in range(5)]
+            x = columns(b)
             if held is not None:
                 x = [np.concatenate(f) for f in zip(held, x)]
                 held = None
             while len(x[0]):
                 if big_node is not None:
-                    n = len(x[0]) if not (x[0] != big_node).any() else int(np.argmax(x[0] != big_node))
+                    other = x[0] != big_node
+                    n = int(np.argmax(other)) if other.any() else len(x[0])
                     if n:
                         yield from large([f[:n] for f in x])
                     x = [f[n:] for f in x]
                     if len(x[0]):
-                        big_node, seen = None, None
+                        yield from close()
+                        big_node = None
                     continue
                 starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
                 sizes = np.diff(np.r_[starts, len(x[0])])
@@ -239,10 +286,16 @@ def meet(rows: DataFrame, leaf: int, agree: int, parts: int, first: bool = False
                     break
         if held is not None:
             yield from small(held)
+        yield from close()
 
     return rows.repartition(parts, "node").sortWithinPartitions("node", "c").mapInArrow(run, MET)
 
 
+def _least(p: float) -> int:
+    """4.5 standard deviations below the mean of T trials of chance p."""
+    return int(T * p - 4.5 * (T * p * (1 - p)) ** 0.5)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """a, b of the pairs whose sets have 100 * intersection >= threshold * union."""
     one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
@@ -256,13 +309,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, trees: int = 12, depth: int = 3, leaf: int = 48, deepest: int = 18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; threshold in percent."""
     share = threshold / 100
-    agree = int(128 * (1 + share) / 2 - 4.5 * (128 * (1 + share) / 2 * (1 - share) / 2) ** 0.5)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     parts = shuffle_parts(docs.sparkSession)
     signed = cut(sign(texts, words), "signed")
     classes = signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = cut(classes, "classes")
-    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, agree, parts, first=True), "met")
+    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, share, parts, first=True), "met")
     pairs = met.where("kind = 0").select("a", "b", "agree")
     big = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
     again = met.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("c"))
@@ -271,10 +323,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = wanted.join(classes.select("c", "doc_id"), "c").where("doc_id is not null")
     sets = cut(_sets(texts.join(wanted, "doc_id").select("c", "text"), words), "sets")
 
-    ends = pairs.union(pairs.select("b", "a", "agree")).groupBy("a").agg(F.min("b").alias("low"), F.max_by("b", F.struct("agree", "b")).alias("like"))
-    first = ends.select("a", F.explode(F.array("low", "like")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(confirm(first, sets, threshold), "links")
-    comp = components(links)
+    def best(p: DataFrame) -> DataFrame:
+        """At most two pairs for each class: its likest partner, and its least."""
+        ends = p.union(p.select("b", "a", "agree")).groupBy("a").agg(F.min("b").alias("low"), F.max_by("b", F.struct("agree", "b")).alias("like"))
+        return ends.select("a", F.explode(F.array("low", "like")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def apart(p: DataFrame) -> DataFrame:
+        """Pairs whose classes lie in different components so far."""
+        k = comp.select(F.col("node").alias("k"), F.col("comp").alias("v"))
+        p = p.join(k, p["a"] == k["k"], "left").select("a", "b", "agree", F.coalesce("v", "a").alias("ca"))
+        return p.join(k, p["b"] == k["k"], "left").where(F.coalesce("v", "b") != F.col("ca")).select("a", "b", "agree")
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Members of nodes that have members of several components, with these and the tokens."""
@@ -282,22 +340,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         several = rows.groupBy(F.col("node").alias("m")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("m")
         return rows.join(several, rows["node"] == several["m"], "left_semi").join(classes.select("c", "sig"), "c").select("node", "c", "sig", "comp")
 
-    step = cut(meet(descend(mixed(again), share, 0, None), leaf, agree, parts), "met")
-    more = pairs.select("a", "b").union(step.where("kind = 0").select("a", "b"))
-    level = depth
-    while not big.isEmpty():
-        last = level + 3 >= deepest
-        step = cut(meet(descend(mixed(big), share, 3, None), leaf, agree, parts, all_pairs=last), "met")
-        more = more.union(step.where("kind = 0").select("a", "b"))
-        big = step.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
-        level += 3
-
-    def with_comp(p: DataFrame, key: str, name: str) -> DataFrame:
-        k = comp.select(F.col("node").alias(key), F.col("comp").alias(name))
-        return p.join(k, key, "left").withColumn(name, F.coalesce(name, key))
-
-    rest = with_comp(with_comp(more.distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-    rest = cut(confirm(rest, sets, threshold), "links")
+    links = cut(confirm(best(pairs), sets, threshold), "links")
+    comp = cut(components(links), "comp")
+    level, step = depth, None
+    while True:
+        if step is None:
+            step = cut(meet(descend(mixed(again), share, 0, None), leaf, share, parts), "met")
+        elif big.isEmpty():
+            break
+        else:
+            last = level + 3 >= deepest
+            step = cut(meet(descend(mixed(big), share, 3, None), leaf, share, parts, last=last), "met")
+            big = step.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
+            level += 3
+        pairs = cut(apart(pairs.union(step.where("kind = 0").select("a", "b", "agree")).groupBy("a", "b").agg(F.max("agree").alias("agree"))), "pairs")
+        found = cut(confirm(best(pairs), sets, threshold), "links")
+        if not found.isEmpty():  # what these join needs no more comparing
+            links = links.union(found)
+            comp = cut(components(links), "comp")
+    rest = cut(confirm(apart(pairs).select("a", "b"), sets, threshold), "links")
     if not rest.isEmpty():
         comp = components(links.union(rest))
     own = signed.select("doc_id", "n", "c").join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
