@@ -76,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
+    "op7_warc": warc.ORACLE,
 }

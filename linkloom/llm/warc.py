@@ -184,4 +184,14 @@ def export(archives: DataFrame, folder: str) -> None:
 
 def digest(pages: DataFrame) -> DataFrame:
     """Write archives to the shared folder, read them back, and describe each page."""
-    return read(cut(write(pages), "warc"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read(cut(write(pages), "warc"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL for digest()
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, strlen(html) AS n, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f"""

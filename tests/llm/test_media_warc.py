@@ -107,6 +107,11 @@ def test_pages(spark):
         revisit = of is not None and of != i
         want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if revisit else "response", of if revisit else None))
     assert got == sorted(want, key=repr)
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", pages(spark, rows).select("page_id", "html").toPandas().astype({"page_id": "Int64"}))
+    assert sorted(con.sql(warc.ORACLE).fetchall(), key=repr) == got
     assert warc.digest(pages(spark, rows).limit(0)).count() == 0
 
 
