@@ -29,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BUCKETS = 1 << 22
 _WORD = re.compile(r"\w+")
 SHAPES = 5
+LENGTHS = [0, 4]  # those that tell of length
 _MARK = re.compile(r"[^\w\s.,]")
 _UPPER = re.compile(r"[A-Z]")
 _DIGIT = re.compile(r"\d")
@@ -87,8 +90,10 @@ def _matrix(docs: list[np.ndarray], shapes: np.ndarray, earlier: np.ndarray, m:
             at = np.searchsorted(m.buckets, d)
             hit = at[(at < k) & (m.buckets[np.minimum(at, k - 1)] == d)]
             x[i, hit] = 1
-    # clipped: an odd shape alone says no more than the oddest ones seen
-    x[:, k : k + SHAPES] = np.clip((shapes - m.center) / m.scale, -2.5, 2.5)
+    # an odd share of signs says no more than the oddest seen, and an odd length nothing
+    z = (shapes - m.center) / m.scale
+    z[:, LENGTHS] = np.where(np.abs(z[:, LENGTHS]) > 2.5, 0, z[:, LENGTHS])
+    x[:, k : k + SHAPES] = np.clip(z, -2.5, 2.5)
     x[:, k + SHAPES : -1] = earlier
     x[:, -1] = 1
     return x
@@ -100,10 +105,13 @@ def _fit(docs: list[np.ndarray], shapes: np.ndarray, earlier: np.ndarray, y: np.
     w = np.zeros(x.shape[1])
     rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     w[-1] = np.log(rate / (1 - rate))
+    k = len(m.buckets)
+    penalty = np.full(len(w), ridge)
+    penalty[k : k + SHAPES] = 10 * ridge  # words count for more than shapes
     if 0 < y.sum() < len(y):
         for _ in range(12):  # Newton steps
             p = _sigmoid(x @ w)
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
             w += step
             if np.abs(step).max() < 1e-5:
                 break
@@ -188,7 +196,8 @@ def score(documents: DataFrame, chain: list[Model], categories: list[str], *, te
         p = predict(chain, [x[0] for x in found], np.array([x[1] for x in found]))
         return pa.array(list(p), pa.list_(pa.float64()))
 
-    out = documents.withColumn(tmp := "__chances__", chances(documents[text_col].cast("string")))
+    (tmp,) = fresh(documents, "__chances__")
+    out = documents.withColumn(tmp, chances(documents[text_col].cast("string")))
     for i, c in enumerate(categories):
         out = out.withColumn(f"{prefix}{c}", F.col(tmp)[i])
     return out.drop(tmp)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_sets import brute_components, brute_repeats
 from test_text import labelled
 from test_tokens import check_pieces
@@ -61,5 +62,7 @@ def test_stages(spark, folder, tmp_path):
 
 def test_empty(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in P.STAGES:
-        assert stage(spark, docs.limit(0), folder).count() == 0
+    clashing = docs.limit(0).withColumns({c: F.lit("x") for c in ("__p_toxic", "__kept__", "kept", "c", "node", "ids")})
+    for name, stage in P.STAGES:
+        out = stage(spark, clashing, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == clashing.columns)
