@@ -44,8 +44,11 @@ def _stage(f):
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = tox.score(docs, tox.fitted(docs, labels), tox.CATEGORIES, prefix="__p_")
-    return scored.where(F.col("__p_toxic") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = "__p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    scored = tox.score(docs, tox.fitted(docs, labels), tox.CATEGORIES, prefix=prefix)
+    return scored.where(F.col(f"{prefix}toxic") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @_stage
@@ -64,10 +67,11 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 @_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without bytes that a 100-byte string repeats from further up."""
-    left = suffixes.remove_repeats(docs, form="text").where("doc is not null").select(F.col("doc").alias("__doc__"), F.col("kept").alias("__kept__")).dropDuplicates(["__doc__"])
+    key, kept = common.fresh(docs, "__doc__", "__kept__")
+    left = suffixes.remove_repeats(docs, form="text").where("doc is not null").select(F.col("doc").alias(key), F.col("kept").alias(kept)).dropDuplicates([key])
     blank = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("")))
-    known = blank.where("doc_id is not null").join(left, F.col("doc_id").cast("long") == left["__doc__"])
-    known = _with_text(known, F.when(F.col("text").isNotNull(), F.col("__kept__").cast("string")))
+    known = blank.where("doc_id is not null").join(left, F.col("doc_id").cast("long") == left[key])
+    known = _with_text(known, F.when(F.col("text").isNotNull(), F.col(kept).cast("string")))
     return known.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where("doc_id is null"))
 
 
