@@ -140,7 +140,7 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
     Otherwise: candidates of different components.  A large node is compared
     at once, all of it, if at most leaf of its members lie outside its main
     component, or if this is the last level; what exceeds hold rows branches,
-    and on the last level is compared in blocks."""
+    but not on the last level, where it is compared at its end like any other."""
     agree, same_bytes = _least((1 + threshold) / 2), _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +226,6 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
             if branching:
                 yield out(1, seen[0], seen[1], np.zeros(len(seen[0]), np.int32))
                 seen = [f[:0] for f in seen]
-            elif last and len(seen[0]) > hold:
-                new = len(x[0])
-                yield from across(seen, np.arange(len(seen[0]) - new, len(seen[0])))
 
         def across(x: list[np.ndarray], some: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Candidates between some of the rows and all."""
@@ -242,7 +239,7 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
             nonlocal seen, branching
             x, went = seen, branching
             seen, branching = None, False
-            if first or x is None or not len(x[0]) or went or last and len(x[0]) > hold:
+            if first or x is None or not len(x[0]) or went:
                 return
             comp, n = np.unique(x[4], return_counts=True)
             minor = np.flatnonzero(x[4] != comp[np.argmax(n)])

@@ -76,6 +76,20 @@ def test_a_large_group(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_components(texts, 2, 80)
 
 
+def test_large_nodes_are_compared_whole(spark):
+    """All pairs of a node that comes in many batches, the first rows' among themselves too."""
+    sig = np.arange(neardup.T, dtype=np.uint32)[None]
+    s0, s1 = (int(x[0]) for x in neardup.sketch(sig))
+    rows = [(1, c, s0, s1, bytes(neardup.T), c) for c in range(60)]
+    df = spark.createDataFrame(rows, "node long, c long, s0 long, s1 long, bytes binary, comp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {(r.a, r.b) for r in neardup.meet(df, 4, 0.8, 2, last=True, hold=16).where("kind = 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(a, b) for b in range(60) for a in range(b)}
+
+
 def test_near_duplicate_edges(spark):
     empty = neardup.near_duplicates(frame(spark, {0: "a"}).limit(0))
     assert empty.columns == ["doc_id", "n_shingles", "component_id", "kept"] and empty.count() == 0
