@@ -10,23 +10,24 @@ pairs above the threshold keep meeting while others part at every level.
 * A node of at most `leaf` members is compared exhaustively, on one-bit
   sketches of 128 minwise tokens; the sketch test is set 4.5 standard
   deviations below the threshold.  In a group of copies every pair would be a
-  candidate, so a member first passes on the most central of its own only, and
-  the node meets again later, for pairs between different components.
-* A larger node compares its members with its most central one.  Unless they
-  then all lie in one component, only members of different components need be
-  compared with each other: at once where few lie outside the main one,
-  otherwise further down the tree.  What is still large after `deepest` levels
-  is compared in blocks, all of it.
-
-Links are confirmed on whole shingle sets: after each step at most two for each
-class (they join nearly all of a component), and in the end every remaining
-candidate between different components.  Only classes with a candidate have their sets read.
-Components come from alternating stars; nothing of per-document size reaches
-the driver.
-
-Recall: a pair at the threshold stays together to depth d with a probability
-of 0.84, 0.73, 0.64, 0.58, ... per tree; twelve trees miss 4e-6 at depth 3 and
-4e-5 at depth 4, less for more similar pairs.
+  candidate, so a member first passes on the most central of its own only.
+* A larger node compares its members with its most central one.
+
+These candidates are confirmed on whole shingle sets, at first two for each
+class, which join nearly all of a component.  Then every node of more than one
+candidate a member that still has members of different components is compared
+whole, on the shingle sets themselves: each member outside the node's main
+component with all others.  Large nodes are split into blocks, of which each
+pair is a task.  Only links come out, at most one for two components and task.
+In the end what candidates remain between different components are confirmed.
+Only classes with a candidate have their sets read.  Components come from
+alternating stars; nothing of per-document size reaches the driver.
+
+Recall: all nodes are compared at depth `depth`, 3, large or small.  A pair at
+the threshold is still together there with a probability of 0.64 per tree, so
+that twelve independent trees miss 4e-6; as all draw from the same 128 tokens,
+it is 2e-5 (computed over the tokens' binomial spread), less for more similar
+pairs.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; repeated rows and equal texts share a class; very long texts are read
@@ -103,9 +104,8 @@ def sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits[:, 0], bits[:, 1]
 
 
-def descend(rows: DataFrame, threshold: float, levels: int, trees: int | None) -> DataFrame:
-    """node, c, sketches, component: where members stand `levels` further down; from the
-    roots of `trees` trees, or from the rows' own nodes."""
+def descend(rows: DataFrame, threshold: float, levels: int, trees: int) -> DataFrame:
+    """node, c, sketches: where members stand `levels` below the roots of `trees` trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,54 +113,41 @@ def descend(rows: DataFrame, threshold: float, levels: int, trees: int | None) -
                 b = whole.slice(at, 2000)
                 c = b.column("c").to_numpy()
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(c), T)
-                if trees:
-                    node = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(c))
-                    member = np.tile(np.arange(len(c)), trees)
-                else:
-                    node, member = b.column("node").to_numpy().view(np.uint64), np.arange(len(c))
+                node = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(c))
+                member = np.tile(np.arange(len(c)), trees)
                 for _ in range(levels):
                     node, member = branch(node, member, sig, threshold)
                 s0, s1 = sketch(sig)
-                at = pa.array(member)
-                # from the roots on, sketches alone; later a byte of every token too, and components
-                more = [pa.nulls(len(at), pa.binary()), pa.array(c[member])] if trees else [pa.array([x.tobytes() for x in (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)], pa.binary()).take(at), b.column("comp").take(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(c[member]), pa.array(s0[member]), pa.array(s1[member]), *more], names=["node", "c", "s0", "s1", "bytes", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(c[member]), pa.array(s0[member]), pa.array(s1[member])], names=["node", "c", "s0", "s1"])
 
-    return rows.mapInArrow(run, "node long, c long, s0 long, s1 long, bytes binary, comp long")
+    return rows.mapInArrow(run, "node long, c long, s0 long, s1 long")
 
 
-def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool = False, last: bool = False, hold: int = 16384) -> DataFrame:
+def meet(rows: DataFrame, leaf: int, threshold: float, parts: int) -> DataFrame:
     """Rows of MET from nodes: kind 0, a candidate pair a < b and how many of
-    128 bits agree; kind 1, a member b of a large node a, to branch further.
-
-    first: a member gives only its most central candidate, the one nearest to
-    what most members of the node have; where a small node has more, its
-    members come as kind 2, to meet again once it is known which of them lie
-    in one component.
-    Otherwise: candidates of different components.  A large node is compared
-    at once, all of it, if at most leaf of its members lie outside its main
-    component, or if this is the last level; what exceeds hold rows branches,
-    but not on the last level, where it is compared at its end like any other."""
-    agree, same_bytes = _least((1 + threshold) / 2), _least(threshold)
+    128 bits agree; kind 1, a member b of a node a to be compared whole.
+
+    A member gives only its most central candidate, the one nearest to what
+    most members of the node have; the members of a small node that has more,
+    and of any large one, come as kind 1, to meet again once it is known which
+    of them lie in one component."""
+    agree = _least((1 + threshold) / 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        big_node, pivot, seen, branching = None, None, None, False
+        big_node, pivot = None, None
 
         def out(kind: int, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(k.astype(np.int32))], names=["kind", "a", "b", "agree"])
 
         def near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Those of the row pairs i, j that are candidates, and how many bits agree."""
-            ok = (x[4][i] != x[4][j]) & (x[1][i] != x[1][j])
+            ok = x[1][i] != x[1][j]
             i, j = i[ok], j[ok]
             apart = [np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int32) for f in x[2:4]]
             same = 128 - apart[0] - apart[1]
             ok = same >= agree
             i, j, same = i[ok], j[ok], same[ok]
-            if not first and len(i):
-                ok = (x[5][i] == x[5][j]).sum(axis=1) >= same_bytes
-                i, j, same = i[ok], j[ok], same[ok]
             return i, j, same
 
         def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -181,79 +168,40 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
 
         def small(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Whole nodes of at most leaf rows."""
-            found, n = [], len(x[0])
+            n = len(x[0])
             if not n:
                 return
             partner, partners, met = np.full(n, -1), np.zeros(n, np.int32), np.zeros(n, bool)
-            cen = central(x) if first else None
+            cen = central(x)
             for d in range(1, leaf):
                 i = np.flatnonzero(x[0][d:] == x[0][:-d])
                 if not len(i):
                     break
-                i, j, same = near(x, i, i + d)
-                if not first:
-                    found.append((i, j, same))
-                    continue
+                i, j, _ = near(x, i, i + d)
                 met[i] = met[j] = True
                 up = cen[i] >= cen[j]
                 for hub, own in ((i[up], j[up]), (j[~up], i[~up])):
                     partners[own] += 1
                     better = (partner[own] < 0) | (cen[hub] > cen[partner[own]])
                     partner[own[better]] = hub[better]
-            if first:
-                j = np.flatnonzero(partner >= 0)
-                found = [near(x, partner[j], j)]
-                rest = np.isin(x[0], np.unique(x[0][partners > 1])) & met
-                if rest.any():
-                    yield out(2, x[0][rest], x[1][rest], np.zeros(int(rest.sum()), np.int32))
-            if found:
-                yield from pairs(x, *(np.concatenate(f) for f in zip(*found)))
+            rest = np.isin(x[0], np.unique(x[0][partners > 1])) & met
+            if rest.any():
+                yield out(1, x[0][rest], x[1][rest], np.zeros(int(rest.sum()), np.int32))
+            j = np.flatnonzero(partner >= 0)
+            yield from pairs(x, *near(x, partner[j], j))
 
         def large(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Rows of one large node; pivot is a row of it that came before."""
-            nonlocal seen, pivot, branching
-            if first:  # stars around the most central rows
-                at = int(np.argmax(central(x)))
-                hub = [f[at : at + 1] for f in x]
-                y = [np.concatenate(f) for f in zip(hub, pivot, x)]
-                yield from pairs(y, *near(y, np.zeros(len(y[0]) - 1, np.int64), np.arange(1, len(y[0]))))
-                pivot = hub
-                yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
-                return
-            seen = x if seen is None else [np.concatenate(f) for f in zip(seen, x)]
-            if len(seen[0]) > hold and not last:
-                branching = True
-            if branching:
-                yield out(1, seen[0], seen[1], np.zeros(len(seen[0]), np.int32))
-                seen = [f[:0] for f in seen]
-
-        def across(x: list[np.ndarray], some: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Candidates between some of the rows and all."""
-            every = np.arange(len(x[0]))
-            for at in range(0, len(some), 16):
-                few = some[at : at + 16]
-                yield from pairs(x, *near(x, np.repeat(few, len(every)), np.tile(every, len(few))))
-
-        def close() -> Iterator[pa.RecordBatch]:
-            """A large node has come to its end."""
-            nonlocal seen, branching
-            x, went = seen, branching
-            seen, branching = None, False
-            if first or x is None or not len(x[0]) or went:
-                return
-            comp, n = np.unique(x[4], return_counts=True)
-            minor = np.flatnonzero(x[4] != comp[np.argmax(n)])
-            if len(minor) <= leaf or last:
-                yield from across(x, minor)
-            else:
-                yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
-
-        def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-            x = [b.column(n).to_numpy() for n in ("node", "c", "s0", "s1", "comp")]
-            return x if first else [*x, np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8).reshape(-1, T)]
+            """Rows of one large node: stars around the most central ones; pivot is a row of it that came before."""
+            nonlocal pivot
+            at = int(np.argmax(central(x)))
+            hub = [f[at : at + 1] for f in x]
+            y = [np.concatenate(f) for f in zip(hub, pivot, x)]
+            yield from pairs(y, *near(y, np.zeros(len(y[0]) - 1, np.int64), np.arange(1, len(y[0]))))
+            pivot = hub
+            yield out(1, x[0], x[1], np.zeros(len(x[0]), np.int32))
 
         for b in batches:
-            x = columns(b)
+            x = [b.column(n).to_numpy() for n in ("node", "c", "s0", "s1")]
             if held is not None:
                 x = [np.concatenate(f) for f in zip(held, x)]
                 held = None
@@ -265,7 +213,6 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
                         yield from large([f[:n] for f in x])
                     x = [f[n:] for f in x]
                     if len(x[0]):
-                        yield from close()
                         big_node = None
                     continue
                 starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
@@ -283,7 +230,6 @@ def meet(rows: DataFrame, leaf: int, threshold: float, parts: int, first: bool =
                     break
         if held is not None:
             yield from small(held)
-        yield from close()
 
     return rows.repartition(parts, "node").sortWithinPartitions("node", "c").mapInArrow(run, MET)
 
@@ -293,6 +239,99 @@ def _least(p: float) -> int:
     return int(T * p - 4.5 * (T * p * (1 - p)) ** 0.5)
 
 
+def links_within(c: np.ndarray, comp: np.ndarray, sets: np.ndarray, ends: np.ndarray, threshold: int, room: int = 1 << 22) -> list[tuple[int, int]]:
+    """Links that join components of one group as comparing all its pairs would:
+    classes, their components, their sets one after another, and where these end."""
+    n, sizes = len(c), np.diff(np.r_[0, ends])
+    kinds, own = np.unique(comp, return_inverse=True)
+    up = list(range(len(kinds)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    main = int(np.argmax(np.bincount(own)))
+    minor = np.flatnonzero(own != main)
+    if not len(minor):
+        return []
+    # shingles of one row only are nobody's; those of many rows are counted by a matrix product, others by their lists
+    _, token, many = np.unique(sets, return_inverse=True, return_counts=True)
+    order = np.argsort(token, kind="stable")
+    row = np.repeat(np.arange(n), sizes)
+    lists, start = row[order], np.cumsum(many) - many
+    dense = (many > 1) & (many > n // 8)
+    place = np.cumsum(dense) - 1
+    often = dense[token]
+    matrix = np.zeros((n, int(dense.sum())), np.float32)
+    matrix[row[often], place[token[often]]] = 1
+    rare = ~often & (many[token] > 1)
+    cost = np.bincount(row[rare], weights=many[token[rare]], minlength=n).astype(np.int64) + n
+    out, at = [], 0
+    while at < len(minor):
+        end = at + max(1, int(np.searchsorted(np.cumsum(cost[minor[at:]]), room, side="right")))
+        mine, at = minor[at:end], end
+        now = np.array([find(k) for k in range(len(up))])[own]
+        mine = mine[now[mine] != find(main)]  # others meet these when it is their turn
+        if not len(mine):
+            continue
+        both = np.rint(matrix[mine] @ matrix.T).astype(np.int64)
+        t = [np.arange(ends[r] - sizes[r], ends[r])[rare[ends[r] - sizes[r] : ends[r]]] for r in mine]
+        which, t = np.repeat(np.arange(len(mine)), [len(x) for x in t]), token[np.concatenate(t)]
+        if len(t):
+            long = many[t]
+            entry = np.repeat(start[t] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))
+            both += np.bincount(np.repeat(which, long) * n + lists[entry], minlength=both.size).reshape(both.shape)
+        i, j = np.nonzero((100 * both >= threshold * (sizes[mine][:, None] + sizes[None] - both)) & (now[mine][:, None] != now[None]))
+        i = mine[i]
+        _, one = np.unique(np.minimum(now[i], now[j]) * len(up) + np.maximum(now[i], now[j]), return_index=True)
+        for a, b in zip(i[one].tolist(), j[one].tolist()):
+            x, y = find(int(own[a])), find(int(own[b]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(min(c[a], c[b])), int(max(c[a], c[b]))))
+    return out
+
+
+def whole(rows: DataFrame, sets: DataFrame, threshold: int, parts: int, block_rows: int = 4096, block_shingles: int = 1 << 20) -> DataFrame:
+    """a, b: links between the components that share a node, of rows node, c, comp, n
+    (the set's size).  All pairs of a node are compared; the pairs of blocks of a
+    node that exceeds a block are groups of their own."""
+    sized = rows.groupBy(F.col("node").alias("m")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("r"), F.sum("n").alias("t")).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("r") / block_rows), F.ceil(F.col("t") / block_shingles)).cast("int")
+    rows = rows.join(sized.select("m", blocks.alias("k")), rows["node"] == F.col("m")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+    # two blocks that meet compare their own rows too
+    rows = rows.withColumn("j", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("i")))))
+    rows = rows.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "c", "comp").join(sets, "c").select("node", "c", "comp", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held).combine_chunks()
+                s = t["s"].combine_chunks()
+                found = links_within(t["c"].to_numpy(), t["comp"].to_numpy(), s.flatten().to_numpy(), np.cumsum(s.value_lengths().to_numpy()), threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+                held.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if x[lo] != node:
+                    yield from close()
+                    node = x[lo]
+                held.append(b.slice(lo, hi - lo))
+        yield from close()
+
+    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """a, b of the pairs whose sets have 100 * intersection >= threshold * union."""
     one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
@@ -303,20 +342,19 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return sized.where(100 * both >= threshold * (na + nb - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, trees: int = 12, depth: int = 3, leaf: int = 48, deepest: int = 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, trees: int = 12, depth: int = 3, leaf: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; threshold in percent."""
     share = threshold / 100
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     parts = shuffle_parts(docs.sparkSession)
     signed = cut(sign(texts, words), "signed")
-    classes = signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = cut(classes, "classes")
-    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, share, parts, first=True), "met")
+    met = cut(meet(descend(classes.select("c", "sig"), share, depth, trees), leaf, share, parts), "met")
     pairs = met.where("kind = 0").select("a", "b", "agree")
-    big = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
-    again = met.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("c"))
+    nodes = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
 
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(big.select("c")).union(again.select("c")).distinct()
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(nodes.select("c")).distinct()
     wanted = wanted.join(classes.select("c", "doc_id"), "c").where("doc_id is not null")
     sets = cut(_sets(texts.join(wanted, "doc_id").select("c", "text"), words), "sets")
 
@@ -331,31 +369,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         p = p.join(k, p["a"] == k["k"], "left").select("a", "b", "agree", F.coalesce("v", "a").alias("ca"))
         return p.join(k, p["b"] == k["k"], "left").where(F.coalesce("v", "b") != F.col("ca")).select("a", "b", "agree")
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Members of nodes that have members of several components, with these and the tokens."""
-        rows = rows.join(comp, rows["c"] == comp["node"], "left").select(rows["node"], "c", F.coalesce("comp", "c").alias("comp"))
-        several = rows.groupBy(F.col("node").alias("m")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("m")
-        return rows.join(several, rows["node"] == several["m"], "left_semi").join(classes.select("c", "sig"), "c").select("node", "c", "sig", "comp")
-
     links = cut(confirm(best(pairs), sets, threshold), "links")
     comp = cut(components(links), "comp")
-    level, step = depth, None
-    while True:
-        if step is None:
-            step = cut(meet(descend(mixed(again), share, 0, None), leaf, share, parts), "met")
-        elif big.isEmpty():
-            break
-        else:
-            last = level + 3 >= deepest
-            step = cut(meet(descend(mixed(big), share, 3, None), leaf, share, parts, last=last), "met")
-            big = step.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("c"))
-            level += 3
-        pairs = cut(apart(pairs.union(step.where("kind = 0").select("a", "b", "agree")).groupBy("a", "b").agg(F.max("agree").alias("agree"))), "pairs")
-        found = cut(confirm(best(pairs), sets, threshold), "links")
-        if not found.isEmpty():  # what these join needs no more comparing
-            links = links.union(found)
-            comp = cut(components(links), "comp")
-    rest = cut(confirm(apart(pairs).select("a", "b"), sets, threshold), "links")
+    placed = nodes.join(comp, nodes["c"] == comp["node"], "left").select(nodes["node"], "c", F.coalesce("comp", "c").alias("comp")).join(classes.select("c", "n"), "c")
+    found = cut(whole(placed, sets, threshold, parts), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        comp = cut(components(links), "comp")
+    rest = cut(confirm(apart(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))).select("a", "b"), sets, threshold), "links")
     if not rest.isEmpty():
         comp = components(links.union(rest))
     own = signed.select("doc_id", "n", "c").join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))

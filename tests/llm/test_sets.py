@@ -76,18 +76,26 @@ def test_a_large_group(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_components(texts, 2, 80)
 
 
-def test_large_nodes_are_compared_whole(spark):
-    """All pairs of a node that comes in many batches, the first rows' among themselves too."""
-    sig = np.arange(neardup.T, dtype=np.uint32)[None]
-    s0, s1 = (int(x[0]) for x in neardup.sketch(sig))
-    rows = [(1, c, s0, s1, bytes(neardup.T), c) for c in range(60)]
-    df = spark.createDataFrame(rows, "node long, c long, s0 long, s1 long, bytes binary, comp long")
+@pytest.mark.parametrize("block", [4096, 16])
+def test_large_nodes_are_compared_whole(spark, block):
+    """All pairs of a node that comes in many batches and blocks, the first rows' among themselves too."""
+    sets = [(c, [1000 * (c // 2) + i for i in range(20 + c % 2)] + list(range(-100 * (c % 7), 0, 100))) for c in range(60)]
+    df = spark.createDataFrame([(1, c, c, len(s)) for c, s in sets], "node long, c long, comp long, n long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
-        got = {(r.a, r.b) for r in neardup.meet(df, 4, 0.8, 2, last=True, hold=16).where("kind = 0").collect()}
+        got = {(r.a, r.b) for r in neardup.whole(df, spark.createDataFrame(sets, "c long, s array<long>"), 80, 2, block_rows=block).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {(a, b) for b in range(60) for a in range(b)}
+    assert got == {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))} and len(got) > 20
+
+
+def test_pairs_at_the_threshold_in_a_large_group(spark):
+    """Many pairs of 0.8 whose members are 0.68 like all others."""
+    core, texts = [f"c{i}" for i in range(80)], {}
+    for i in range(400):
+        texts[i] = " ".join(core + [f"p{i // 2}_{j}" for j in range(8)] + [f"u{i}_{j}" for j in range(11)])
+    got = neardup.near_duplicates(frame(spark, texts), words=1, leaf=8).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_components(texts, 1, 80)
 
 
 def test_near_duplicate_edges(spark):
