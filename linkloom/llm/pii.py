@@ -16,7 +16,7 @@ attempts above 0 have to reach the documents; they are a small table, given as
 a literal up to `literal_rows` and joined per document beyond.
 
 Defined results: null texts stay null, empty ones empty; texts without digits,
-'@' or a title are passed through unread by the detectors; repeated rows are
+'@', a key's prefix, 32 hexadecimal letters or a title are passed through unread by the detectors; repeated rows are
 treated alike; other columns are kept, whatever their names.
 """
 
@@ -44,7 +44,7 @@ LUHN = r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d]|[.-]\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,512}+|[0-9A-F]{32,512}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,128}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,}+)(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "phone": r"(?<![\p{L}\d+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d+.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
@@ -53,7 +53,7 @@ PATTERNS = {
 }
 ORDER = ("email", "iban", "secret", "ip", "ssn", "phone", "card", "name")
 ANY = "|".join(f"(?:{PATTERNS[t]})" for t in ORDER)
-HINT = rf"[\d@]|(?<!\p{{L}})(?:{FEMALE}|{MALE})\b"
+HINT = rf"[\d@]|AKIA|(?:sk|pk|ghp|gho|xoxb)[-_]|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?<!\p{{L}})(?:{FEMALE}|{MALE})\b"
 ALNUM = r"[^\p{L}\p{N}]"
 
 

@@ -148,6 +148,15 @@ def test_surrogates(spark):
     assert pii.replace(df.limit(0), key="k").count() == 0
 
 
+def test_long_and_letter_only_secrets(spark):
+    secrets = ["sk-proj-" + "aB3_" * 39, "0a1b" * 256, "0A1B" * 256, "sk-" + "abcdefgh" * 3, "xoxb-" + "q" * 16, "AKIA" + "QWERTYUI" * 2, "abcdef" * 6]
+    df = spark.createDataFrame([(i, f"key {x} end") for i, x in enumerate(secrets)], "doc_id long, text string")
+    for r in pii.replace(df, key="k", found_col="found").collect():
+        x = secrets[r.doc_id]
+        assert [(f.kind, f.mention) for f in r.found] == [("secret", x)]
+        assert r.text == f"key {r.found[0].surrogate} end" and len(r.found[0].surrogate) == len(x) and r.found[0].surrogate != x
+
+
 def test_collisions_are_drawn_again(spark):
     """In a space of few surrogates all stay distinct, with a literal and with a join."""
     mails = [f"{a}{b}@x.com" for a in "abcdefghij" for b in "klmnopqrst"]
