@@ -19,7 +19,9 @@ Centroids come from a bounded sample; every vector is indexed.
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; equal scores go to the
 smaller vec_id; rows repeated with one vec_id are all candidates, but none of
-them for a query of that id; with fewer candidates than k, all are returned.
+them for a query of that id; of queries with one id the one of the least vector
+counts; a query visits further cells until they hold k candidates, so fewer than
+k come back only where there are no more.
 """
 
 from __future__ import annotations
@@ -139,7 +141,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = sizes[0]["d"], sum(r["count"] for r in sizes)
     rows = rows.where(F.size("v") == d)
-    asked = usable(queries, id_col, vec_col).where(F.size("v") == d)
+    asked = usable(queries, id_col, vec_col).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
+    same = rows.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("same"))
+    asked = asked.join(same, "id", "left").select("id", "v", F.coalesce("same", F.lit(0)).alias("same"))
     cells = cells or max(1, min(4096, round(n**0.5 / 4)))
     share = min(1.0, sample / n)
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").limit(2 * sample).toArrow()
@@ -156,15 +160,19 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         codes, norm, own = encode(x, cell, index)
         return pa.StructArray.from_arrays([pa.array(cell.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(own)], ["cell", "code", "norm", "own"])
 
+    base = rows.withColumn("c", coded("v")).select("id", "v", "c.*")
+    nv = {r["cell"]: r["count"] for r in base.groupBy("cell").count().collect()}  # a row for each cell
+    per_cell = np.array([nv.get(c, 0) for c in range(cells)])
+
     @F.arrow_udf("array<int>")
-    def visited(v: pa.Array) -> pa.Array:
+    def visited(v: pa.Array, same: pa.Array) -> pa.Array:
         q = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), d)
-        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :probes]
-        return pa.array(list(near.astype("i4")), pa.list_(pa.int32()))
+        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
+        # cells until they hold k candidates besides the query's own rows
+        need = 1 + (np.cumsum(per_cell[near], axis=1) < k + same.to_numpy(zero_copy_only=False)[:, None]).sum(axis=1)
+        return pa.array([c[:n] for c, n in zip(near.astype("i4"), np.maximum(need, probes))], pa.list_(pa.int32()))
 
-    base = rows.withColumn("c", coded("v")).select("id", "v", "c.*")
-    asks = asked.withColumn("cell", F.explode(visited("v"))).select("id", "v", "cell")
-    nv = {r["cell"]: r["count"] for r in base.groupBy("cell").count().collect()}  # a row for each cell
+    asks = asked.withColumn("cell", F.explode(visited("v", "same"))).select("id", "v", "cell")
     nq = {r["cell"]: r["count"] for r in asks.groupBy("cell").count().collect()}
     per_v = F.array(*(F.lit(-(-nv.get(c, 0) // block)) for c in range(cells)))
     per_q = F.array(*(F.lit(-(-nq.get(c, 0) // query_block)) for c in range(cells)))

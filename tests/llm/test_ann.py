@@ -62,6 +62,18 @@ def test_few_candidates_and_repeats(spark):
     assert ann.search(frame(spark, [(0, [0, 0]), (1, None)]), df).count() == 0
 
 
+def test_repeated_queries_and_small_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
+    rows += [rows[0]] * 25
+    df = frame(spark, rows)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), cells=60, probes=1).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(v) == 20 for v in got.values()) and len(got) == 10
+    assert len(set(got[0])) == 20 and 0 not in got[0]
+
+
 def test_recall(spark):
     source = queries.table(spark, "/root/testdata/sf0.01", "embeddings")
     found = ann.search(source, source.where(F.col("vec_id") % 20 == 0), cells=12)
