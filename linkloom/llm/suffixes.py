@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with logarithmic families of suffix indexes.
+"""Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 The result is exact: every byte goes that lies in a `span`-byte string which
 also starts earlier (smaller id, or further up in the same document).
@@ -6,26 +6,29 @@ also starts earlier (smaller id, or further up in the same document).
 Suffixes are sampled by content: a window of `span` bytes is represented by
 its *anchor*, the k-byte string in it of least hash (the leftmost of equal
 ones), so equal windows have equal anchors at equal offsets.  Consecutive
-windows of one anchor make a *stretch*.  The suffixes at anchors, cut where
-their stretch ends, are ordered by fingerprint; in that order, as in an
-alphabetical suffix array, equal ones are neighbours, and two arrays are
-matched by one merge scan, but no text has to be at hand.
-
-`Family` holds such arrays in levels.  A new batch becomes a sorted array, is
-merge-scanned against every level for equal stretches, and leaves those it
-shares; levels of similar size are then merged, so sizes grow geometrically
-and an entry is moved a logarithmic number of times.  Families work in two
-places: over the batches of each input partition, and over what arrives in
-each partition of the fingerprint space.
-
-1. A task's family finds repeats among its own documents; of each anchor it
-   passes on one row at most: its only stretch, or the note that it has seen
-   several.  So a passage of any frequency is one row a task.
-2. The families of the fingerprint space find repeats between tasks.  Stretches
-   that are equal are settled.  Anchors with different stretches mark the
-   borders of matches.
+windows of one anchor make a *stretch*.  An entry is the suffix at an anchor,
+cut where its stretch ends, followed by the bytes of the stretch before it.
+
+A batch of documents gets a suffix array: its entries in alphabetical order,
+and the length of the longest common prefix (LCP) of neighbours.  Neighbours
+that share all of an entry are equal stretches; neighbours that share k bytes
+or more have one anchor.  `Family` holds such arrays in levels.  A new array is
+merge-scanned against every level for stretches that are there in full, and
+leaves those it shares; levels of similar size are then merged, so sizes grow
+geometrically and an entry is moved a logarithmic number of times.  A family
+that holds `room` entries is closed and a new one begun, so memory does not
+depend on a partition's size.
+
+1. A closed family passes on the repeats among its own documents, and of each
+   anchor one row at most: the 128-bit print of its only stretch, or the note
+   that it has seen several.  So a passage of any frequency is one row a family.
+2. These rows are sorted by anchor and print, as runs that spill and merge on
+   disk, and scanned as a stream.  Equal prints are repeats between families.
+   Anchors with different stretches mark the borders of matches.
 3. Only there, each window is compared by itself in the same way.
 
+Within a family stretches are compared byte by byte, between families by prints.
+
 Defined results: null and empty texts are empty documents; documents shorter
 than `span` stay; an id identifies a document, so rows repeated with it are
 the same occurrence; a null id is left as it is.
@@ -50,33 +53,61 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _POS = _U((1 << 24) - 1)
 CHUNK = 1 << 20
+BATCH = 100_000  # entries of a batch's suffix array
+ROOM = 600_000  # entries of a family
+WINDOWS = 1 << 20  # windows of a batch
 # kinds of rows
 LONE, SEVERAL, REPEAT, BORDER = 0, 1, 2, 3
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.r_[_U(1), np.full(n, base, np.uint64)])
-
-
-_UP = _powers(_BASE, CHUNK * 4)
-_DOWN = _powers(_U(pow(int(_BASE), -1, 1 << 64)), CHUNK * 4)
-
-
-def fingerprints(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Of the byte strings buf[lo:hi]; they depend on the bytes alone."""
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * _UP[: len(buf)], out=sums[1:])
-    return mix((sums[hi] - sums[lo]) * _DOWN[lo] + (hi - lo).astype(np.uint64))
+_NOTE = np.int64(-1 << 63)  # sorts before every print
+
+
+def prints(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit prints, in halves, of rows of bytes; their width is a multiple of 8."""
+    words = rows.view("<u8")
+    a, b = np.full(len(rows), 1, np.uint64), np.full(len(rows), 2, np.uint64)
+    for i in range(words.shape[1]):
+        w = words[:, i]
+        a = mix(a * _BASE + w)
+        b = mix((b ^ w) * _U(0xD6E8FEB86659FD93) + _U(1))
+    return a.view(np.int64), b.view(np.int64)
+
+
+def _cut_rows(buf: np.ndarray, lo: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+    """out[i] = buf[lo[i]:][:size[i]], filled up with zeros; buf reaches out's width beyond any lo."""
+    width = out.shape[1]
+    np.multiply(np.lib.stride_tricks.sliding_window_view(buf, width)[lo], np.arange(width) < size[:, None], out=out)
+
+
+def entries(buf: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int, k: int) -> np.ndarray:
+    """The suffix at each anchor up to its stretch's end, and what of the stretch
+    lies before it, as byte strings of one width; both lengths close an entry."""
+    left = span - k
+    width = -(-(span + left + 9) // 8) * 8
+    out = np.zeros((len(at), width), np.uint8)
+    padded = np.concatenate([buf, np.zeros(span, np.uint8)])
+    _cut_rows(padded, at, hi + span - at, out[:, :span])
+    if left:
+        _cut_rows(padded, lo, at - lo, out[:, span : span + left])
+    out[:, -9:-5] = (hi + span - at).astype("<u4")[:, None].view(np.uint8)
+    out[:, -5:-1] = (at - lo).astype("<u4")[:, None].view(np.uint8)
+    out[:, -1] = 1  # byte strings lose zeros at their end
+    return out.view(f"S{width}").ravel()
+
+
+def lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix, entry by entry."""
+    size = a.dtype.itemsize
+    x, y = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, size) for v in (a, b))
+    differ = x != y
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), size) if len(x) else np.zeros(0, np.int64)
 
 
 def stretches(buf: np.ndarray, doc: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, fingerprint, first and last window of every stretch.
+    """Anchor hash, entry, first and last window of every stretch.
     doc: the document of each byte; no window crosses documents."""
     empty = np.zeros(0, np.int64)
     if len(buf) < span:
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty.view(np.uint64), entries(buf, empty, empty, empty, span, k), empty, empty
     h, step, base = _BYTE[buf], 1, _BASE
     left = k
     total, done = None, 0
@@ -106,30 +137,34 @@ def stretches(buf: np.ndarray, doc: np.ndarray, span: int, k: int) -> tuple[np.n
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
-    return h[at[lo]], fingerprints(buf, lo, hi + span), lo, hi
+    return h[at[lo]], entries(buf, at[lo], lo, hi, span, k), lo, hi
 
 
 class Family:
-    """Levels of sorted entries, no key twice; of equal keys the earliest stays."""
+    """Levels of sorted entries, none twice; of equal ones the earliest stays."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
         self.repeats: list[list[np.ndarray]] = []
 
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
     def add(self, key: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
-        """at: place in the document, in its upper bits; more: carried along."""
-        order = np.lexsort((at, doc, key))
-        new = [f[order] for f in (key, doc, at, more)]
+        """A batch. at: place in the document, in its upper bits; more: carried along."""
         if not len(key):
             return
-        head = np.r_[True, new[0][1:] != new[0][:-1]]
+        order = np.lexsort((at, doc))
+        order = order[np.argsort(key[order], kind="stable")]
+        new = [f[order] for f in (key, doc, at, more)]
+        head = np.r_[True, lcp(new[0][1:], new[0][:-1]) < key.dtype.itemsize]
         first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
         self._report(new, ~head & ((new[1] != new[1][first]) | (new[2] != new[2][first])))
         new = [f[head] for f in new]
         for level in self.levels:
             i = np.searchsorted(level[0], new[0])
             i[i == len(level[0])] = 0
-            hit = np.flatnonzero(level[0][i] == new[0])
+            hit = np.flatnonzero(lcp(level[0][i], new[0]) == key.dtype.itemsize)
             if not len(hit):
                 continue
             there = i[hit]
@@ -138,8 +173,8 @@ class Family:
             late = np.zeros(len(new[0]), bool)
             late[hit[~before & ~same]] = True
             self._report(new, late)
-            self.repeats.append([f[there[before]] for f in level])
-            for f, g in zip(level, new):
+            self._report(level, there[before])
+            for f, g in zip(level[1:], new[1:]):
                 f[there[before]] = g[hit[before]]
             stay = np.ones(len(new[0]), bool)
             stay[hit] = False
@@ -150,22 +185,28 @@ class Family:
             self._merge()
 
     def _report(self, rows: list[np.ndarray], which: np.ndarray) -> None:
-        if which.any():
-            self.repeats.append([f[which] for f in rows])
+        if which.any() if which.dtype == bool else len(which):
+            self.repeats.append([f[which] for f in rows[1:3]])
 
     def _merge(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
-        both = [np.concatenate(f) for f in zip(a, b)]
-        order = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
-        self.levels.append([f[order] for f in both])
+        place = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+        old = np.ones(len(a[0]) + len(b[0]), bool)
+        old[place] = False
+        level = []
+        for x, y in zip(a, b):
+            z = np.empty(len(old), x.dtype)
+            z[place], z[old] = y, x
+            level.append(z)
+        self.levels.append(level)
 
     def finish(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Earliest entries by key, and all repeats: key, doc, at, more of each."""
+        """Earliest entries in order (key, doc, at, more), and all repeats (doc, at)."""
         while len(self.levels) > 1:
             self._merge()
-        none = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        kept = self.levels[0] if self.levels else none
-        return kept, [np.concatenate(f) for f in zip(*self.repeats)] if self.repeats else none
+        none = np.zeros(0, np.int64)
+        kept = self.levels[0] if self.levels else [np.zeros(0, "S8"), none, none, none.view(np.uint64)]
+        return kept, [np.concatenate(f) for f in zip(*self.repeats)] if self.repeats else [none, none]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,76 +239,100 @@ def _chunks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[np.n
         yield close()
 
 
-ROWS = "key long, print long, doc long, at long"
+ROWS = "key long, p long, q long, doc long, at long"
 
 
-def _rows(key: np.ndarray, print_: np.ndarray, doc: np.ndarray, at: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
-    """at: first window << 12 | further windows << 4 | kind"""
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(doc), pa.array(at & ~np.int64(15) | kind)], names=["key", "print", "doc", "at"])
+def _rows(columns: list[np.ndarray], names: list[str], step: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), step):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], names=names)
 
 
-def _sliced(*columns: np.ndarray, kind: np.ndarray | int, step: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), step):
-        yield _rows(*(c[i : i + step] for c in columns), kind if isinstance(kind, int) else kind[i : i + step])
+def _passed_on(family: Family, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a closed family. at: first window << 12 | further windows << 4 | kind."""
+    (entry, doc, at, anchor), repeats = family.finish()
+    names = [x.split()[0] for x in ROWS.split(", ")]
 
+    def settled(doc: np.ndarray, at: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(len(doc), np.int64)
+        yield from _rows([mix(doc.view(np.uint64)).view(np.int64), zero, zero, doc, at | kind], names)
 
-def _by_anchor(kept: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Entries in the order of their anchors, and whether each one's anchor has several stretches."""
-    order = np.argsort(kept[3], kind="stable")
-    kept = [f[order] for f in kept]
-    head = np.r_[True, kept[3][1:] != kept[3][:-1]] if len(order) else np.zeros(0, bool)
-    n = np.diff(np.r_[np.flatnonzero(head), len(head)])
-    return kept, np.repeat(n > 1, n)
+    yield from settled(*repeats, REPEAT)
+    if not len(entry):
+        return
+    # neighbours with a common prefix of an anchor's length are stretches of one anchor
+    group = np.cumsum(np.r_[True, lcp(entry[1:], entry[:-1]) < k]) - 1
+    several = np.bincount(group)[group] > 1
+    yield from settled(doc[several], at[several], BORDER)
+    notes = np.unique(anchor[several]).view(np.int64)
+    sign = np.full(len(notes), _NOTE)
+    yield from _rows([notes, sign, sign, np.zeros(len(notes), np.int64), np.full(len(notes), SEVERAL, np.int64)], names)
+    lone = np.flatnonzero(~several)
+    for i in range(0, len(lone), 100_000):
+        own = lone[i : i + 100_000]
+        p, q = prints(entry[own].view(np.uint8).reshape(len(own), -1))
+        yield from _rows([anchor[own].view(np.int64), p, q, doc[own], at[own] | LONE], names)
 
 
 def _local(texts: DataFrame, span: int, k: int) -> DataFrame:
-    """Each input partition's own repeats and borders, and a row for each other anchor."""
+    """Repeats and borders within families of an input partition, and a row for each other anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
+        family, waiting, n = Family(), [], 0
         for buf, row, ids, offs in _chunks(batches, span):
-            anchor, print_, lo, hi = stretches(buf, row, span, k)
+            anchor, entry, lo, hi = stretches(buf, row, span, k)
             own = row[lo]
             begin = np.searchsorted(row, np.arange(len(ids)))[own]
-            family.add(print_, ids[own], (lo - begin + offs[own]) << 12 | (hi - lo) << 4, anchor)
-        kept, repeats = family.finish()
-        yield from _sliced(mix(repeats[1].view(np.uint64)), repeats[0], repeats[1], repeats[2], kind=REPEAT)
-        kept, several = _by_anchor(kept)
-        yield from _sliced(kept[3][~several], *(f[~several] for f in kept[:3]), kind=LONE)
-        borders = [f[several] for f in kept]
-        yield from _sliced(mix(borders[1].view(np.uint64)), borders[0], borders[1], borders[2], kind=BORDER)
-        notes = np.unique(borders[3])
-        zero = np.zeros(len(notes), np.int64)
-        yield from _sliced(notes, notes, zero, zero, kind=SEVERAL)
+            waiting.append((entry, ids[own], (lo - begin + offs[own]) << 12 | (hi - lo) << 4, anchor))
+            n += len(entry)
+            if n >= BATCH:
+                family.add(*(np.concatenate(f) for f in zip(*waiting)))
+                waiting, n = [], 0
+                if len(family) >= ROOM:
+                    yield from _passed_on(family, k)
+                    family = Family()
+        if waiting:
+            family.add(*(np.concatenate(f) for f in zip(*waiting)))
+        yield from _passed_on(family, k)
 
     return texts.mapInArrow(run, ROWS)
 
 
-def _global(rows: DataFrame, parts: int) -> DataFrame:
-    """doc, at: repeats and borders of all partitions."""
+def _marks(key: np.ndarray, p: np.ndarray, q: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """doc, at: repeats and borders among rows sorted by key, print and place;
+    and the rows that those to come have to be seen with."""
+    fresh_key = np.r_[True, key[1:] != key[:-1]]
+    fresh_print = fresh_key | np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
+    group = np.cumsum(fresh_key) - 1
+    several = np.bincount(group, weights=fresh_print)[group] > 1
+    first = np.maximum.accumulate(np.where(fresh_print, np.arange(len(key)), 0))
+    stretch = at & 15 == LONE
+    again = stretch & ~fresh_print & ((doc != doc[first]) | (at != at[first]))
+    border = stretch & fresh_print & several
+    found = [np.concatenate([doc[again], doc[border]]), np.concatenate([at[again] | REPEAT, at[border] | BORDER])]
+    start = len(key) - int(np.argmax(fresh_key[::-1])) - 1
+    return found, np.unique([start, first[-1]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, notes = Family(), []
 
-        def out(doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(doc), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(at[i : i + 100_000])], names=["doc", "at"])
+def _global(rows: DataFrame, parts: int) -> DataFrame:
+    """doc, at: repeats and borders of all families; a border may come twice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for b in batches:
-            key, print_, doc, at = (b.column(i).to_numpy() for i in range(4))
-            kind = at & 15
-            yield from out(doc[kind >= REPEAT], at[kind >= REPEAT])
-            lone = kind == LONE
-            family.add(print_[lone].view(np.uint64), doc[lone], at[lone], key[lone].view(np.uint64))
-            notes.append(np.unique(key[kind == SEVERAL]).view(np.uint64))
-        kept, repeats = family.finish()
-        yield from out(repeats[1], repeats[2] | REPEAT)
-        kept, several = _by_anchor(kept)
-        if notes:
-            several |= np.isin(kept[3], np.concatenate(notes))
-        yield from out(kept[1][several], kept[2][several] | BORDER)
-
-    return rows.repartition(parts, "key").mapInArrow(run, "doc long, at long")
+            x = [b.column(i).to_numpy() for i in range(5)]
+            done = x[4] & 15 >= REPEAT
+            if done.any():
+                yield from _rows([x[3][done], x[4][done]], ["doc", "at"])
+                x = [f[~done] for f in x]
+            if held is not None:
+                x = [np.concatenate(f) for f in zip(held, x)]
+            if len(x[0]):
+                found, keep = _marks(*x)
+                yield from _rows(found, ["doc", "at"])
+                held = [f[keep] for f in x]
+
+    order = [x.split()[0] for x in ROWS.split(", ")]
+    return rows.repartition(parts, "key").sortWithinPartitions(*order).mapInArrow(run, "doc long, at long")
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,58 +398,64 @@ def _runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[head], np.diff(np.r_[head, len(start)])
 
 
-def _run_rows(doc: np.ndarray, at: np.ndarray, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """doc, at: runs of windows, first window << 12 | further windows."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    if not len(doc):
-        return
-    head = np.r_[True, (np.diff(at) != 1) | (doc[1:] != doc[:-1])]
-    head |= (np.arange(len(head)) - np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))) % step == 0
-    first = np.flatnonzero(head)
-    n = np.diff(np.r_[first, len(doc)])
-    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first] << 12 | n - 1)], names=["doc", "at"])
-
-
 def _windows(pending: DataFrame, span: int, parts: int) -> DataFrame:
-    """doc, at: runs of windows at borders that start earlier elsewhere."""
+    """doc, at: windows at borders that start earlier elsewhere."""
+    width = -(-span // 8) * 8
+    names = ["p", "q", "doc", "at"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
+        waiting, n = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """Of equal windows the earliest goes on; the others are settled: dealt by place, at negative."""
+            x = [np.concatenate(f) for f in zip(*waiting)]
+            order = np.lexsort(x[::-1])
+            x = [f[order] for f in x]
+            head = np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            again = ~head & ((x[2] != x[2][first]) | (x[3] != x[3][first]))
+            yield from _rows([f[head] for f in x], names)
+            doc, at = x[2][again], x[3][again]
+            key = mix(doc.view(np.uint64)).view(np.int64)
+            yield from _rows([key, key, doc, ~at], names)
+
         for whole in batches:
             for at_row in range(0, whole.num_rows, 64):
-                found = []
                 for doc, data, borders in zip(*(c.to_pylist() for c in whole.slice(at_row, 64).columns)):
-                    lo, n = np.frombuffer(borders, np.int64).reshape(2, -1)
-                    start = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    for at in range(0, len(data), CHUNK):  # pieces of a long document
-                        s = start[(start >= at) & (start < at + CHUNK)] - at
-                        if len(s):
-                            fp = fingerprints(np.frombuffer(data[at : at + CHUNK + span], np.uint8), s, s + span)
-                            found.append((fp, np.full(len(s), doc, np.int64), s + at, np.zeros(len(s), np.uint64)))
-                if found:
-                    family.add(*(np.concatenate(f) for f in zip(*found)))
-        kept, again = family.finish()
-        for i in range(0, len(kept[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(f[i : i + 100_000].view(np.int64)) for f in kept[:3]], names=["print", "doc", "at"])
-        for r in _run_rows(again[1], again[2]):  # settled: no print, dealt by place
-            key = mix(r.column(0).to_numpy().view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), r.column(0), pa.array(~r.column(1).to_numpy())], names=["print", "doc", "at"])
+                    lo, m = np.frombuffer(borders, np.int64).reshape(2, -1)
+                    start = np.repeat(lo - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+                    buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(width, np.uint8)])
+                    for i in range(0, len(start), WINDOWS // 8):
+                        s = start[i : i + WINDOWS // 8]
+                        rows = np.zeros((len(s), width), np.uint8)
+                        _cut_rows(buf, s, np.full(len(s), span), rows)
+                        waiting.append((*prints(rows), np.full(len(s), doc, np.int64), s))
+                        n += len(s)
+                        if n >= WINDOWS:
+                            yield from close()
+                            waiting, n = [], 0
+        if waiting:
+            yield from close()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
+        held: list[np.ndarray] | None = None
         for b in batches:
-            print_, doc, at = (b.column(i).to_numpy() for i in range(3))
-            settled = at < 0
-            if settled.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[settled]), pa.array(~at[settled])], names=["doc", "at"])
-            if not settled.all():
-                family.add(print_[~settled].view(np.uint64), doc[~settled], at[~settled], print_[~settled].view(np.uint64))
-        _, again = family.finish()
-        yield from _run_rows(again[1], again[2])
-
-    sent = pending.select("doc", "kept", "borders").mapInArrow(local, "print long, doc long, at long")
-    return sent.repartition(parts, "print").mapInArrow(merged, "doc long, at long")
+            x = [b.column(i).to_numpy() for i in range(4)]
+            done = x[3] < 0
+            if done.any():
+                yield from _rows([x[2][done], ~x[3][done]], ["doc", "at"])
+                x = [f[~done] for f in x]
+            if held is not None:
+                x = [np.concatenate(f) for f in zip(held, x)]
+            if len(x[0]):
+                head = np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]
+                first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+                again = ~head & ((x[2] != x[2][first]) | (x[3] != x[3][first]))
+                yield from _rows([x[2][again], x[3][again]], ["doc", "at"])
+                held = [f[first[-1:]] for f in x]
+
+    sent = pending.select("doc", "kept", "borders").mapInArrow(local, "p long, q long, doc long, at long")
+    return sent.repartition(parts, "p").sortWithinPartitions(*names).mapInArrow(merged, "doc long, at long")
 
 
 def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
@@ -396,7 +467,7 @@ def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
                 for doc, data, gone, ats in zip(*(c.to_pylist() for c in b.columns)):
                     a, z = np.frombuffer(gone, np.int64).reshape(2, -1)
                     s = np.array(ats or [], np.int64)
-                    removed, spans, kept = _cut_out(data, np.concatenate([a, s >> 12]), np.concatenate([z, (s >> 12) + (s & 4095) + span]))
+                    removed, spans, kept = _cut_out(data, np.concatenate([a, s]), np.concatenate([z, s + span]))
                     for c, v in zip(out, (True, doc, len(data), removed, spans, _FORMS[form](kept))):
                         out[c].append(v)
                 yield _state(**out)

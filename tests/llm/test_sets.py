@@ -182,7 +182,7 @@ def test_long_documents_come_in_pieces(spark, monkeypatch):
 
     batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc", "text"])
     for buf, row, ids, offs in suffixes._chunks(iter([batch]), 100):
-        _, print_, lo, hi = suffixes.stretches(buf, row, 100, 48)
+        _, _, lo, hi = suffixes.stretches(buf, row, 100, 48)
         begin = np.searchsorted(row, np.arange(len(ids)))[row[lo]]
         for d, a, n in zip(ids[row[lo]], lo - begin + offs[row[lo]], hi - lo + 1):
             marks += [(int(d), int(x)) for x in range(a, a + n)]
