@@ -9,11 +9,13 @@ decides: the *sufficient lookahead*, which `MergeList.lookahead` computes by
 one pass over the rules in rank order.  The transducer keeps a window of
 pending bytes, merges it, and emits the tokens that end at least the lookahead
 before its end; a pretoken that ends inside the window needs no lookahead.
-Memory is the window, whatever the length of the text.
+Memory is a chunk and the window, whatever the length of the text.
 
-The merging kernel works on many windows at once with numpy.  Windows that are
-whole pretokens between two single spaces recur, so their tokens are memoised
-in a dictionary of bounded size.
+Between a single space and what is no white space on either side a pretoken
+ends for sure, so a transducer emits at every such cut, and the units between
+two cuts, which recur, are remembered in a dictionary of bounded size that
+many transducers share.  The merging kernel works on all units that are new to
+them at once, with numpy.
 
 Decoding maps ids to bytes and feeds an incremental UTF-8 state machine that
 holds at most three bytes; malformed bytes become U+FFFD.
@@ -30,6 +32,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import regex
@@ -37,6 +40,7 @@ import regex
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUNS = [(regex.compile(r" ?\p{L}"), regex.compile(r"\p{L}*")), (regex.compile(r" ?\p{N}"), regex.compile(r"\p{N}*")), (regex.compile(r" ?[^\s\p{L}\p{N}]"), regex.compile(r"[^\s\p{L}\p{N}]*"))]
 _SPACE = regex.compile(r"\s*")
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 _BIG = np.uint64(1 << 62)
 _SHIFT = np.uint64(17)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +65,8 @@ class MergeList:
             return bytes(alphabet[c] for c in token)
 
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.cuts = not any(c.isspace() for t in self.special for c in t)  # a special token never spans a cut
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes_of: list[bytes] = [b""] * size
@@ -189,20 +195,19 @@ class _Run:
         self.held = self.held[int(ends[n - 1]) if n else 0 :]
 
 
-class Transducer:
-    """Text chunks in, ids out as soon as they are stable; constant memory."""
+class _Open:
+    """Text without a sure cut in sight: chunks in, ids out as soon as they are stable."""
 
-    def __init__(self, merges: MergeList, window: int = 4096):
+    def __init__(self, merges: MergeList, window: int):
         self.merges, self.window = merges, window
         self.buf, self.kind, self.run = "", None, _Run(merges)
         self.hold = max([0, *map(len, merges.special)]) - 1
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.raw = ""
 
     def feed(self, text: str, last: bool = False) -> Iterator[int]:
         self.raw += text
         at = 0
-        for m in self.marks.finditer(self.raw) if self.marks else ():
+        for m in self.merges.marks.finditer(self.raw) if self.merges.marks else ():
             yield from self._plain(self.raw[at : m.start()], True)
             yield self.merges.special[m[0]]
             at = m.end()
@@ -244,99 +249,229 @@ class Transducer:
             self.kind = None
 
 
-class Encoder:
-    """Encodes batches of texts; ids of a text come as little-endian 32-bit bytes."""
-
-    def __init__(self, merges: MergeList, memo: int = 800_000, chunk: int = 1 << 16):
-        self.merges, self.limit, self.chunk = merges, memo, chunk
-        self.first: dict[str, bytes | None] = {}
-        self.memo: dict[str, bytes | None] = {}
-        self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
-
-    def _learn(self, units: list[str], memo: dict, lead: str) -> None:
-        if len(memo) > self.limit:
-            memo.clear()
-        # Only where single spaces lie between what is no space is a cut there sure to be a pretoken's end.
-        single, mixed, several = [], [], []
-        for u in units:
-            if u.isalpha():
-                single.append(u)
-            elif not u or u[0].isspace() or u[-1].isspace() or (self.special and self.special.search(u)):
-                memo[u] = None
-            else:
-                mixed.append(u)
-                several.append(PRETOKEN.findall(lead + u))
-        words = [lead + u for u in single]
-        parts = list(dict.fromkeys([w for ws in several for w in ws]))
-        ids, counts = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in words + parts])
+class Words:
+    """Tokens of units, remembered by unit; transducers share it.
+
+    A unit lies between two sure cuts: single spaces with no other white space
+    beside them, where a pretoken ends whatever follows."""
+
+    def __init__(self, merges: MergeList, limit: int = 800_000, room: int = 1 << 26):
+        self.merges, self.limit, self.room = merges, limit, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.first: dict[str, bytes | None] = {}  # at a text's start
+        self.later: dict[str, bytes | None] = {}  # after a space, which is theirs
+        self.odd: dict[str, bytes] = {}  # with white space inside, or special tokens; with the space before them
+        self.size = 0
+
+    def learn(self, first: set[str], later: set[str], odd: set[str]) -> None:
+        """Looks all of these up, so that their tokens are here."""
+        if len(self.first) + len(self.later) + len(self.odd) > self.limit or self.size > self.room:
+            self.clear()
+        words, mixed, inner, marks = [], [], [], self.merges.marks
+        whole: list[tuple[dict, list[str]]] = []
+        for memo, units, lead in ((self.first, first, ""), (self.later, later, " ")):
+            letters = []
+            for u in units.difference(memo):
+                if u.isalpha():
+                    letters.append(u)
+                elif not u or u[0].isspace() or u[-1].isspace() or (marks and marks.search(u)):
+                    memo[u] = None  # not between sure cuts
+                else:
+                    mixed.append((memo, u))
+                    inner.append(PRETOKEN.findall(lead + u))
+            whole.append((memo, letters))
+            words += [lead + u for u in letters]
+        for u in odd.difference(self.odd):
+            mixed.append((self.odd, u))
+            inner.append(self._parts(u))
+        parts = list({w for ws in inner for w in ws})
+        if not words and not parts:
+            return
+        special = self.merges.special
+        plain = words + [w for w in parts if w not in special]
+        ids, counts = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in plain])
         data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
-        pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
-        memo.update(zip(single, pieces))
-        of = dict(zip(parts, pieces[len(words) :]))
-        for u, ws in zip(mixed, several):
-            memo[u] = b"".join([of[w] for w in ws])
+        found = [data[a:b] for a, b in zip([0, *ends], ends)]
+        at = 0
+        for memo, letters in whole:
+            memo.update(zip(letters, found[at : at + len(letters)]))
+            at += len(letters)
+        get = (dict(zip(plain[at:], found[at:])) | {w: np.array([i], "<u4").tobytes() for w, i in special.items()}).__getitem__
+        for (memo, u), ws in zip(mixed, inner):
+            memo[u] = b"".join(map(get, ws))
+        self.size += sum(map(len, words)) + sum(len(u) for _, u in mixed)
+
+    def _parts(self, text: str) -> list[str]:
+        """Pretokens and special tokens, which are never pretokens of anything else."""
+        if not self.merges.marks:
+            return PRETOKEN.findall(text)
+        out, at = [], 0
+        for m in self.merges.marks.finditer(text):
+            out += [*PRETOKEN.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + PRETOKEN.findall(text[at:])
 
-    def stream(self, text: str) -> bytes:
-        t = Transducer(self.merges)
-        out = []
-        for i in range(0, len(text), self.chunk):
-            out.append(np.fromiter(t.feed(text[i : i + self.chunk]), "<u4").tobytes())
-        out.append(np.fromiter(t.feed("", True), "<u4").tobytes())
-        return b"".join(out)
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
+class Transducer:
+    """Text chunks in, ids out as soon as they are stable; memory is a chunk and a window.
+
+    What lies before the last sure cut is stable.  Where no cut comes within a
+    window the merge list's lookahead decides, pretoken by pretoken."""
+
+    def __init__(self, merges: MergeList, window: int = 4096, words: Words | None = None):
+        self.merges, self.window, self.words = merges, window, words or Words(merges)
+        self.open = _Open(merges, window)
+        self.run = self.open.run
+        self.buf, self.begun, self.opened = "", False, False
+        self.ready, self.segment = b"", ""
+
+    def take(self, text: str, last: bool = False) -> tuple[list[str], list[str]]:
+        """Adds a chunk; returns the units it completes, those at the text's start and others."""
+        self.buf = self.buf + text if self.buf else text
+        end = len(self.buf) if last else self._cut()
+        ids: list[int] = []
+        if not end:
+            if not last and (self.opened or len(self.buf) > self.window):
+                ids += self.open.feed(self.buf[:-1])
+                self.buf, self.opened, self.begun = self.buf[-1:], True, True
+            segment = ""
+        else:
+            segment, self.buf = self.buf[:end], self.buf[end:]
+        if self.opened and (segment or last):
+            m = _CUT.search(segment) if self.merges.cuts else None
+            ids += self.open.feed(segment[: m.start()] if m else segment, True)
+            segment, self.opened = segment[m.start() :] if m else "", False
+        self.ready, self.segment = np.array(ids, "<u4").tobytes(), segment
+        if not segment:
+            self.units = ([], [])
+        elif not self.merges.cuts:
+            self.units = ([""], []) if not self.begun else ([], [""])
+        elif self.begun:
+            self.units = ([], segment[1:].split(" "))
+        else:
+            head, *rest = segment.split(" ")
+            self.units = ([head], rest)
+        self.begun = self.begun or bool(segment)
+        return self.units
+
+    def give(self) -> bytes | None:
+        """Ids of the units taken last, once they are learned; None: ask for odd() first."""
+        try:
+            return b"".join([self.ready, *map(self.words.first.__getitem__, self.units[0]), *map(self.words.later.__getitem__, self.units[1])])
+        except TypeError:
+            return None
+
+    def odd(self) -> list[str]:
+        """The units taken last, cut only where it is sure."""
+        if not self.merges.cuts:
+            return [self.segment]
+        head, *rest = _CUT.split(self.segment[bool(not self.units[0]) :])
+        return [head if self.units[0] else " " + head, *(" " + u for u in rest)]
+
+    def give_odd(self) -> bytes:
+        return b"".join([self.ready, *map(self.words.odd.__getitem__, self.odd())])
+
+    def step(self, text: str, last: bool = False) -> bytes:
+        first, later = self.take(text, last)
+        self.words.learn(set(first), set(later), set())
+        out = self.give()
+        if out is None:
+            self.words.learn(set(), set(), set(self.odd()))
+            out = self.give_odd()
+        return out
+
+    def feed(self, text: str, last: bool = False) -> list[int]:
+        return np.frombuffer(self.step(text, last), "<u4").tolist()
+
+    def _cut(self) -> int:
+        """Place of the last sure cut, 0 if there is none."""
+        b = self.buf
+        i = b.rfind(" ", 1, len(b) - 1) if self.merges.cuts else 0
+        while i > 0 and (b[i - 1].isspace() or b[i + 1].isspace()):
+            i = b.rfind(" ", 1, i)
+        return max(i, 0)
+
+
+class Encoder:
+    """Encodes many texts, each by a transducer; ids come as little-endian 32-bit bytes.
+
+    Transducers of short texts take a step together, so that one call of the
+    merging kernel serves them all; a longer text is fed chunk by chunk."""
+
+    def __init__(self, merges: MergeList, memo: int = 800_000, chunk: int = 1 << 18, group: int = 1 << 21):
+        self.merges, self.chunk, self.group = merges, chunk, group
+        self.words = Words(merges, memo)
+
+    def pieces(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bool]]:
+        """Stable ids, text by text, and whether the text ends with them."""
         group, size = [], 0
         for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size > 1 << 21:
-                yield from self._group(group)
+            text = text or ""
+            if len(text) > self.chunk:
+                yield from self._together(group)
+                group, size = [], 0
+                t = Transducer(self.merges, words=self.words)
+                for i in range(0, len(text), self.chunk):
+                    yield t.step(text[i : i + self.chunk]), False
+                yield t.step("", True), True
+                continue
+            group.append(text)
+            size += len(text)
+            if size > self.group:
+                yield from self._together(group)
                 group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [t.split(" ") if t and len(t) < 1 << 22 else None for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                new.update(p[1:])
-        heads = {p[0] for p in parts if p}.difference(self.first)
-        if heads:
-            self._learn(list(heads), self.first, "")
-        # memo may be cleared while learning: take what this group needs again then
-        missing = new.difference(self.memo)
-        if missing:
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-                missing = new
-            self._learn(list(missing), self.memo, " ")
-        get = self.memo.__getitem__
-        for text, p in zip(texts, parts):
-            if not text:
-                yield b""
-            elif p is None:
-                yield self.stream(text)
-            else:
-                try:
-                    yield b"".join([self._head(p[0]), *map(get, p[1:])])
-                except TypeError:
-                    yield self.stream(text)
-
-    def _head(self, unit: str) -> bytes | None:
-        if unit not in self.first:
-            self._learn([unit], self.first, "")
-        return self.first[unit]
+        yield from self._together(group)
+
+    def _together(self, texts: list[str]) -> Iterator[tuple[bytes, bool]]:
+        bank = [Transducer(self.merges, words=self.words) for _ in texts]
+        first, later = set(), set()
+        for t, text in zip(bank, texts):
+            a, b = t.take(text, True)
+            first.update(a)
+            later.update(b)
+        self.words.learn(first, later, set())
+        found = [t.give() for t in bank]
+        rest = [t for t, ids in zip(bank, found) if ids is None]
+        if rest:
+            self.words.learn(set(), set(), {u for t in rest for u in t.odd()})
+        found = [t.give_odd() if ids is None else ids for t, ids in zip(bank, found)]
+        yield from ((ids, True) for ids in found)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        held = []
+        for ids, ended in self.pieces(texts):
+            if not ended or held:
+                held.append(ids)
+                ids = b"".join(held) if ended else b""
+            if ended:
+                held = []
+                yield ids
+
+    def stream(self, text: str) -> bytes:
+        """The ids of one text, chunk by chunk."""
+        t = Transducer(self.merges, words=self.words)
+        return b"".join([*(t.step(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)), t.step("", True)])
+
+
+class Decoder:
+    """Ids in, text out; no more than a partial character is held."""
+
+    def __init__(self, merges: MergeList):
+        self.of, self.machine = merges.bytes_of.__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int], last: bool = False) -> str:
+        return self.machine.decode(b"".join(map(self.of, ids)), last)
 
 
 def decode(merges: MergeList, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
-    """Text of a stream of ids, piece by piece; no more than a partial character is held."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    ids = ids if isinstance(ids, list) else list(ids)
-    of = merges.bytes_of.__getitem__
-    for i in range(0, len(ids), step):
-        yield machine.decode(b"".join(map(of, ids[i : i + step])))
-    yield machine.decode(b"", True)
+    """Text of a stream of ids, piece by piece."""
+    machine = Decoder(merges)
+    for some in batched(ids, step):
+        yield machine.feed(some)
+    yield machine.feed((), True)
 
 
 @lru_cache(maxsize=4)

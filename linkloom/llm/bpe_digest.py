@@ -44,14 +44,18 @@ def digest(docs: DataFrame, vocab: str) -> DataFrame:
         shown = [str(i) for i in range(len(merges.bytes_of))].__getitem__
         for b in batches:
             n, digests, decoded = [], [], []
-            for data in enc.encode(b.column(1).to_pylist()):
+            count, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), bpe.Decoder(merges)
+            for data, ended in enc.pieces(x.as_py() for x in b.column(1)):
                 ids = np.frombuffer(data, "<u4").tolist()
-                n.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(shown, ids)).encode()).hexdigest())
-                h = hashlib.sha256()
-                for piece in bpe.decode(merges, ids):
-                    h.update(piece.encode("utf-8"))
-                decoded.append(h.hexdigest())
+                if ids:
+                    of_ids.update(f"{',' if count else ''}{','.join(map(shown, ids))}".encode())
+                    count += len(ids)
+                of_text.update(machine.feed(ids, ended).encode("utf-8"))
+                if ended:
+                    n.append(count)
+                    digests.append(of_ids.hexdigest())
+                    decoded.append(of_text.hexdigest())
+                    count, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), bpe.Decoder(merges)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, DIGEST)
