@@ -8,10 +8,16 @@ for digits, letters of the same script and case, separators where they were;
 card numbers keep their issuer digit and a valid check digit if they had one;
 addresses keep their top-level domain; names keep title, gender and script.
 
+Names are found by their titles.  Given and family names are entities of their
+own, each with its surrogate, so "Mr. John Smith", "Mr. Smith" and, in a text
+that has one of them, "John Smith", "Smith" and "John" stay one person.
+
 Equal entities get equal surrogates wherever they occur.  That different ones
-stay different, and that no surrogate is an entity of the input, is checked
-over all distinct entities: of those that collide, the first by attempt and
-canonical form stays and the others draw again, until none collides.  Only the
+stay different, and that no surrogate is an entity of the input (given names:
+not the one it replaces), is checked over all distinct entities: of those that
+collide, the first by canonical form stays and the others draw again, until
+none collides.  Every `WIDEN` attempts the format grows by a character, a
+syllable or a second given name, so no space is ever exhausted.  Only the
 attempts above 0 have to reach the documents; they are a small table, given as
 a literal up to `literal_rows` and joined per document beyond.
 
@@ -22,10 +28,12 @@ treated alike; other columns are kept, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, drop, fresh
 
 # Titles by gender, given names by script and gender, syllables of family names by script.
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа|Госпожа"
@@ -49,12 +57,17 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "phone": r"(?<![\p{L}\d+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d+.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
     "card": LUHN,
-    "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
+    "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}(?:\p{{L}}|['’-](?=\p{{Lu}})){{1,40}}(?: \p{{Lu}}(?:\p{{L}}|['’-](?=\p{{Lu}})){{1,40}})?",
 }
 ORDER = ("email", "iban", "secret", "ip", "ssn", "phone", "card", "name")
 ANY = "|".join(f"(?:{PATTERNS[t]})" for t in ORDER)
 HINT = rf"[\d@]|AKIA|(?:sk|pk|ghp|gho|xoxb)[-_]|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?<!\p{{L}})(?:{FEMALE}|{MALE})\b"
 ALNUM = r"[^\p{L}\p{N}]"
+WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{Lu})){1,40}"  # what a detected name may be without its title
+WORDS = rf"{ANY}|(?<!\p{{L}}){WORD}(?!\p{{L}})"
+TITLE = rf"\A((?:{FEMALE}|{MALE})\.? )"
+MARK = "\ufdd0"  # a noncharacter, set around mentions
+WIDEN = 3
 
 
 def kind_of(m: Column) -> Column:
@@ -68,7 +81,7 @@ def kind_of(m: Column) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
-    return F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "name", F.lower(F.regexp_replace(m, r"\.", ""))).otherwise(m)
+    return F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("family", "f", "m"), F.lower(m)).otherwise(m)
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column, chars: Column) -> Column:
@@ -153,72 +166,126 @@ def _checked(m: Column, made: Column) -> Column:
     return F.when(valid, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), _let(digits(made), check).cast("string"))).otherwise(made)
 
 
-def _name(m: Column, stream: Column) -> Column:
-    title = F.regexp_extract(m, r"\A(\S+ )", 1)
-    female = F.rlike(m, F.lit(rf"\A(?:{FEMALE})\.? "))
+def _cyrillic(part: Column) -> Column:
+    return F.rlike(part, F.lit(r"\p{IsCyrillic}"))
+
+
+def _name_part(part: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """Surrogate of a given name (kind f or m) or of a family name."""
     literal = lambda xs: F.array(*map(F.lit, xs))
+    cyrillic, female = _cyrillic(part), kind == "f"
+    more = F.floor(attempt / WIDEN).cast("int")
+    given = F.when(cyrillic & female, literal(GIVEN["cyrillic", "f"])).when(cyrillic, literal(GIVEN["cyrillic", "m"])).when(female, literal(GIVEN["latin", "f"])).otherwise(literal(GIVEN["latin", "m"]))
+    syllables = F.when(cyrillic, literal(SYLLABLES["cyrillic"])).otherwise(literal(SYLLABLES["latin"]))
+    ending = F.when(~cyrillic, F.lit("")).when(F.rlike(F.lower(part), F.lit("а\\z")), F.lit("ова")).otherwise(F.lit("ов"))
 
-    def made(rest: Column) -> Column:
-        cyrillic = F.rlike(rest, F.lit(r"\p{IsCyrillic}"))
-        given = F.when(cyrillic & female, literal(GIVEN["cyrillic", "f"])).when(cyrillic, literal(GIVEN["cyrillic", "m"])).when(female, literal(GIVEN["latin", "f"])).otherwise(literal(GIVEN["latin", "m"]))
-        pick = lambda k: lambda xs: F.element_at(xs, _draw(stream, k, F.size(xs)) + 1)
-        parts = _let(F.when(cyrillic, literal(SYLLABLES["cyrillic"])).otherwise(literal(SYLLABLES["latin"])), lambda xs: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: pick(k)(xs)), ""))
-        family = F.initcap(F.concat(parts, F.when(cyrillic & female, F.lit("ова")).when(cyrillic, F.lit("ов")).otherwise(F.lit(""))))
-        whole = F.concat(F.when(F.contains(rest, F.lit(" ")), F.concat(_let(given, pick(F.lit(0))), F.lit(" "))).otherwise(F.lit("")), family)
-        return F.when((rest == F.upper(rest)) & (F.length(rest) > 2), F.upper(whole)).otherwise(whole)
+    def made(stream: Column) -> Column:
+        def drawn(xs: Column, n: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.element_at(xs, _draw(stream, k, F.size(xs)) + 1))
 
-    return F.concat(title, _let(F.substring(m, F.length(title) + 1, F.length(m)), made))
+        first = F.array_join(drawn(given, more + 1), "-")
+        family = F.initcap(F.concat(F.array_join(drawn(syllables, more + 5), ""), ending))
+        return F.when(kind == "family", family).otherwise(first)
 
+    whole = _let(_stream(key, kind, F.lower(part), attempt, more + 5), made)
+    return F.when((part == F.upper(part)) & (F.length(part) > 2), F.upper(whole)).otherwise(whole)
 
-def surrogate(m: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """What a mention is replaced with."""
+
+def _mention(m: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """Surrogate of a mention that is no name."""
     # kept at the front: country code, issuer digit, key prefix; at the end: top-level domain
     front = F.when(kind == "phone", F.regexp_extract(m, r"\A(\+\d+)", 1)).when(kind == "card", F.substring(m, F.lit(1), F.lit(1))).when(kind.isin("secret", "iban"), F.regexp_extract(m, r"\A(AKIA|[a-z]{2,4}[-_]|[A-Z]{2}(?![0-9A-F]+\z))", 1)).otherwise(F.lit(""))
     end = F.when(kind == "email", F.regexp_extract(m, r"(\.[^.]*)\z", 1)).otherwise(F.lit(""))
     hexed = F.when(kind == "secret", F.when(F.rlike(m, F.lit(r"\A[0-9a-f]+\z")), F.lit("0123456789abcdef")).when(F.rlike(m, F.lit(r"\A[0-9A-F]+\z")), F.lit("0123456789ABCDEF")))
+    more = F.floor(attempt / WIDEN).cast("int")
 
     def made(stream: Column) -> Column:
         middle = lambda a: _let(end, lambda z: F.concat(a, _mapped(F.substring(m, F.length(a) + 1, F.length(m) - F.length(a) - F.length(z)), stream, hexed), z))
-        octets = F.array_join(F.transform(F.split(m, r"\."), lambda _, i: (1 + _draw(stream, i, F.lit(254))).cast("string")), ".")
-        return F.when(kind == "ip", octets).when(kind == "name", _name(m, stream)).otherwise(_let(_let(front, middle), lambda x: F.when(kind == "card", _checked(m, x)).otherwise(x)))
+        octets = F.array_join(F.transform(F.concat(F.split(m, r"\."), F.array_repeat(F.lit(""), more)), lambda _, i: (1 + _draw(stream, i, F.lit(254))).cast("string")), ".")
+
+        def grown(x: Column, letters: str) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(1), more), lambda k: F.substring(F.lit(letters), _draw(stream, x + k, F.lit(len(letters))) + 1, F.lit(1))), "")
+
+        def wide(x: Column) -> Column:
+            longer = F.when(kind == "email", F.concat(grown(F.length(m), CLASSES[1][1]), x)).otherwise(F.concat(x, grown(F.length(m), CLASSES[0][1])))
+            return F.when(more > 0, longer).otherwise(x)
+
+        return F.when(kind == "ip", octets).otherwise(_let(_let(_let(front, middle), wide), lambda x: F.when(kind == "card", _checked(m, x)).otherwise(x)))
+
+    return _let(_stream(key, kind, canonical(m, kind), attempt, F.length(m) + more), made)
+
+
+def surrogate(m: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """What a mention, or a part of a name, is replaced with."""
+    return F.when(kind.isin("family", "f", "m"), _name_part(m, kind, attempt, key)).otherwise(_mention(m, kind, attempt, key))
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """array<string>: by turns what lies between matches, and the matches."""
+    split = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    # a text that holds the mark itself is read twice
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    twice = F.flatten(F.zip_with(gaps, found, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
+    return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(split)
+
+
+def _odd(xs: Column) -> Column:
+    return F.filter(xs, lambda _, i: F.pmod(i, F.lit(2)) == 1)
+
+
+def _parts(m: Column) -> Column:
+    """array<struct<kind, part>>: a titled name's family name and given name."""
+    female = F.rlike(m, F.lit(rf"\A(?:{FEMALE})\.? "))
+
+    def of(words: Column) -> Column:
+        family = F.struct(F.lit("family").alias("kind"), F.element_at(words, -1).alias("part"))
+        given = F.struct(F.when(female, F.lit("f")).otherwise(F.lit("m")).alias("kind"), words[0].alias("part"))
+        return F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))
 
-    return _let(_stream(key, kind, canonical(m, kind), attempt, F.length(m)), made)
+    return _let(F.split(F.regexp_replace(m, TITLE, ""), " "), of)
 
 
 def mentions(text: Column) -> Column:
-    """array<string> of all mentions, in order."""
+    """array<string> of all mentions by themselves, in order."""
     return F.when(F.rlike(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def entities(df: DataFrame, text_col: str) -> DataFrame:
     """kind, canon: the distinct entities of all texts, each with one mention of it."""
     found = df.select(F.explode(F.array_distinct(mentions(df[text_col].cast("string")))).alias("m")).distinct()
-    found = found.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind")))
-    return found.groupBy("kind", "canon").agg(F.min("m").alias("m"))
+    found = found.withColumn("kind", kind_of(F.col("m")))
+    own = F.array(F.struct(F.col("kind").alias("kind"), F.col("m").alias("part")))
+    found = found.select(F.explode(F.when(F.col("kind") == "name", _parts(F.col("m"))).otherwise(own)).alias("x")).select(F.col("x.kind").alias("kind"), F.col("x.part").alias("m"))
+    return found.withColumn("canon", canonical(F.col("m"), F.col("kind"))).groupBy("kind", "canon").agg(F.min("m").alias("m"))
 
 
-def settle(found: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def settle(found: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt (above 0 only): which entities had to draw again.
 
-    An entity's canonical surrogate must be no other's, and no entity itself."""
-    from pyspark.sql import Window
-
+    An entity's canonical surrogate must be no other's, and no entity itself
+    (a given name's: not itself).  Those that fail draw again and are held
+    against all entities and all surrogates settled so far."""
     found = cut(found, "pii")
-    state = found.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
-        drawn = state.withColumn("s", canonical(surrogate(F.col("m"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
-        real = found.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
-        taken = drawn.join(real, (drawn["kind"] == real["k"]) & (drawn["s"] == real["c"]), "left")
+    real = found.select("kind", F.col("canon").alias("s")).where("kind not in ('f', 'm')")
+    drawn = lambda rows: rows.withColumn("s", canonical(surrogate(F.col("m"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
+    todo, used, out = found.withColumn("attempt", F.lit(0)), [real], []
+    while True:
+        rows = cut(drawn(todo), "pii")
         # on one surrogate meet few entities: its space is far larger than a group
-        place = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "canon"))
-        judged = cut(taken.withColumn("again", (place > 1) | F.col("c").isNotNull()).select("kind", "canon", "m", "attempt", "again"), "pii")
-        if judged.where("again").isEmpty():
-            return judged.where("attempt > 0").select("kind", "canon", "attempt")
-        state = judged.select("kind", "canon", "m", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise ValueError(f"entities still collide after {rounds} draws: their format's space is exhausted")
-
-
-def replace(df: DataFrame, text_col: str = "text", *, key: str, literal_rows: int = 10_000, found_col: str | None = None) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy("kind", "s").orderBy("canon")) == 1
+        taken = rows.select("kind", "s").distinct().join(reduce(DataFrame.union, used).distinct(), ["kind", "s"]).withColumn("taken", F.lit(True))
+        judged = rows.join(taken, ["kind", "s"], "left").withColumn("ok", first & F.col("taken").isNull() & (F.col("s") != F.col("canon")))
+        judged = cut(judged.select("kind", "canon", "m", "attempt", "s", "ok"), "pii")
+        drop(rows)
+        used.append(judged.where("ok").select("kind", "s"))
+        out.append(judged.where("ok and attempt > 0").select("kind", "canon", "attempt"))
+        todo = judged.where("not ok")
+        if todo.isEmpty():
+            return reduce(DataFrame.union, out)
+        todo = todo.select("kind", "canon", "m", (F.col("attempt") + 1).alias("attempt"))
+
+
+def replace(df: DataFrame, text_col: str = "text", *, key: str, literal_rows: int = 200, found_col: str | None = None) -> DataFrame:
     """df with surrogates in text_col; found_col, if given, gets array<struct<kind, mention, surrogate>>."""
     again = settle(entities(df, text_col), key)
     few = again.limit(literal_rows + 1).collect()
@@ -231,26 +298,54 @@ def replace(df: DataFrame, text_col: str = "text", *, key: str, literal_rows: in
     else:
         h = F.sha2(text, 256)
         each = df.select(h.alias("h"), F.explode(F.array_distinct(mentions(text))).alias("m")).distinct()
-        each = each.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind")))
+        each = each.withColumn("kind", kind_of(F.col("m")))
+        own = F.array(F.struct(F.col("kind").alias("kind"), F.col("m").alias("part")))
+        each = each.select("h", F.explode(F.when(F.col("kind") == "name", _parts(F.col("m"))).otherwise(own)).alias("x"))
+        each = each.select("h", F.col("x.kind").alias("kind"), canonical(F.col("x.part"), F.col("x.kind")).alias("canon"))
         per = each.join(again, ["kind", "canon"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(name(F.col("kind"), F.col("canon")), "attempt"))).alias(more))
         rows = df.join(per, h == per["h"], "left").drop(per["h"])
         lookup = F.col(more)
 
-    def one(m: Column) -> Column:
-        def with_kind(kind: Column) -> Column:
-            attempt = F.lit(0) if lookup is None else F.coalesce(F.try_element_at(lookup, name(kind, canonical(m, kind))), F.lit(0))
-            return F.struct(kind.alias("kind"), m.alias("mention"), surrogate(m, kind, attempt, key).alias("surrogate"))
-
-        return F.transform(F.array(kind_of(m)), with_kind)[0]
-
-    (tmp,) = fresh(rows, "__found__")
-    found = F.transform(mentions(text), one)
-    rows = rows.withColumn(tmp, found)
-    gaps = F.split(text, ANY, -1)
-    # the pieces between mentions and the mentions' surrogates, by turns
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform(F.col(tmp), lambda x: x["surrogate"]), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    def attempt(m: Column, kind: Column) -> Column:
+        return F.lit(0) if lookup is None else F.coalesce(F.try_element_at(lookup, name(kind, canonical(m, kind))), F.lit(0))
+
+    def named(m: Column, parts: Column) -> Column:
+        made = F.transform(parts, lambda x: _name_part(x["part"], x["kind"], attempt(x["part"], x["kind"]), key))
+        return F.concat(F.regexp_extract(m, TITLE, 1), F.array_join(made, " "))
+
+    def one(known: Column):
+        """The replacement of a match; a word that is no mention has none."""
+
+        def found(m: Column) -> Column:
+            # a word that a detected name of this text has, as a family name if it is one
+            same = F.filter(known, lambda x: x["part"] == m)
+            as_known = F.when(F.exists(same, lambda x: x["kind"] == "family"), F.lit("family")).otherwise(F.get(same, F.lit(0))["kind"])
+            word = F.rlike(m, F.lit(rf"\A{WORD}\z"))
+
+            def with_kind(kind: Column) -> Column:
+                parts = F.when(word, F.array(F.struct(as_known.alias("kind"), m.alias("part")))).otherwise(_parts(m))
+                made = F.when(kind == "name", named(m, parts)).otherwise(_mention(m, kind, attempt(m, kind), key))
+                return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), m.alias("mention"), made.alias("surrogate")))
+
+            # no pattern but that of secrets takes words of letters, and no short ones
+            kind = F.when(word & (F.length(m) < 20), F.when(as_known.isNotNull(), F.lit("name"))).otherwise(F.coalesce(kind_of(m), F.when(word & as_known.isNotNull(), F.lit("name"))))
+            return _let(kind, with_kind)
+
+        return found
+
+    tmp, cuts, names = fresh(rows, "__found__", "__cuts__", "__names__")
+    none = F.array().cast("array<struct<kind:string,part:string>>")
+    rows = rows.withColumn(cuts, F.when(F.rlike(text, F.lit(HINT)), pieces(text, ANY)))
+    titled = F.filter(_odd(F.col(cuts)), lambda m: F.rlike(m, F.lit(TITLE)))
+    rows = rows.withColumn(names, F.coalesce(F.array_distinct(F.flatten(F.transform(titled, lambda m: _parts(m)))), none))
+    rows = rows.withColumn(cuts, F.when(F.size(names) > 0, pieces(text, WORDS)).otherwise(F.col(cuts)))
+    rows = rows.withColumn(tmp, F.transform(_odd(F.col(cuts)), one(F.col(names))))
+    even = F.filter(F.col(cuts), lambda _, i: F.pmod(i, F.lit(2)) == 0)
+    matches = F.zip_with(_odd(F.col(cuts)), F.col(tmp), lambda m, x: F.coalesce(x["surrogate"], m))
+    joined = F.array_join(F.flatten(F.zip_with(even, matches, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
+    found = F.coalesce(F.filter(tmp, lambda x: x.isNotNull()), F.array().cast("array<struct<kind:string,mention:string,surrogate:string>>"))
     rows = rows.withColumn(text_col, F.when(F.size(tmp) > 0, joined).otherwise(text))
-    return rows.select(*(F.col(f"`{c}`") for c in out), *([F.col(tmp).alias(found_col)] if found_col else []))
+    return rows.select(*(F.col(f"`{c}`") for c in out), *([found.alias(found_col)] if found_col else []))
 
 
 def report(documents: DataFrame, key: str) -> DataFrame:

@@ -174,7 +174,66 @@ def test_collisions_are_drawn_again(spark):
     assert pii.settle(pii.entities(df, "text"), "k").where("attempt > 0").count() > 0
 
 
-def test_exhausted_space(spark):
-    df = spark.createDataFrame([(i, f"{a}@b.com") for i, a in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        pii.settle(pii.entities(df.withColumn("text", df.text), "text"), "k", rounds=1)
+def test_short_formats_widen(spark):
+    """400 of the 676 addresses of one shape: there are not enough others."""
+    mails = [f"{a}@{b}.io" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    df = spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails)], "doc_id long, text string")
+    made = [r.text.split(" ")[1] for r in pii.replace(df, key="k").collect()]
+    assert len(set(made)) == len(mails) and not set(made) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.io", x) for x in made)
+
+
+def test_one_person_one_surrogate(spark):
+    texts = [
+        "Mr. John Smith met Mr. Smith. John Smith left with Smith's dog. Bob Jones stayed, Smithers too.",
+        "Mrs Smith and Mrs Anna Smith. JOHN.SMITH@mail.example.com wrote; Rose Tyler didn't.",
+        "John Smith is not known here.",
+        "Г-жа x; г-жа Анна Иванова пришла. Анна Иванова ушла. г-н Иванов",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replace(df, key="k").orderBy("doc_id").collect()]
+    given, family = re.match(r"Mr\. (\w+) (\w+) met", out[0]).groups()
+    assert out[0] == f"Mr. {given} {family} met Mr. {family}. {given} {family} left with {family}'s dog. Bob Jones stayed, Smithers too."
+    assert given in pii.GIVEN["latin", "m"] and family not in ("Smith", "John")
+    her = re.match(rf"Mrs {family} and Mrs (\w+) {family}\. \S+@\S+ wrote; Rose Tyler didn't\.", out[1]).group(1)
+    assert her in pii.GIVEN["latin", "f"] and her != "Anna" and "SMITH" not in out[1] and out[2] == texts[2]
+    hers, theirs = re.match(r"Г-жа x; г-жа (\w+ \w+ова) пришла\. (\w+ \w+ова) ушла", out[3]).groups()
+    assert hers == theirs and hers.split()[0] in pii.GIVEN["cyrillic", "f"]
+
+
+def test_many_given_names_stay_distinct(spark):
+    names = [f"A{a}{b}" for a in "bcdfg" for b in "aeiou"]  # more than there are given names to draw
+    df = spark.createDataFrame([(i, f"Mr. {n} Same") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [r.text for r in pii.replace(df, key="k").collect()]
+    assert len(set(out)) == len(names) and len({x.split(" ")[2] for x in out}) == 1
+
+
+def brute_mentions(text: str) -> list[str]:
+    """The patterns tried at every place, first by place, then by order; untitled words of names after that."""
+    import regex
+
+    def scan(pattern: str) -> list[str]:
+        return [m[0] for m in regex.finditer(pattern, text, regex.V0)]
+
+    java = {t: p.replace("\\p{IsLatin}", "\\p{Latin}") for t, p in pii.PATTERNS.items()}
+    titled = scan("|".join(f"(?:{java[t]})" for t in pii.ORDER))
+    words = {w for m in titled if (t := regex.match(pii.TITLE.replace("\\A", ""), m)) for w in m[t.end() :].split(" ")}
+    if not words:
+        return titled
+    found = scan("|".join(f"(?:{java[t]})" for t in pii.ORDER) + rf"|(?<!\p{{L}}){pii.WORD}(?!\p{{L}})")
+    plain = regex.compile(rf"{pii.WORD}\Z")
+    return [m for m in found if not plain.match(m) or m in words or len(m) >= 20]
+
+
+def test_mentions_against_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["Mr. John Smith", "Smith", "John", "Ms O'Brien", "O'Brien's", "x@y.org", "4111 1111 1111 1111", "10.0.0.1", "123-45-6789", "words", "Rose", "\ufdd0", "+1 (017) 555-7713", "sk-" + "q" * 20, "г-н Пётр Иванов", "Иванов", "3.14", ",", "\n"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.replace(df, key="k", found_col="found").collect():
+        assert [x.mention for x in r.found] == brute_mentions(texts[r.doc_id]), texts[r.doc_id]
+        out, at = "", 0
+        for x in r.found:
+            n = texts[r.doc_id].index(x.mention, at)
+            out, at = out + texts[r.doc_id][at:n] + x.surrogate, n + len(x.mention)
+        assert r.text == out + texts[r.doc_id][at:]
