@@ -1,8 +1,8 @@
 """Toxicity categories by a chain of linear classifiers.
 
 The categories are predicted one after another.  Each is a logistic regression
-on word presence and a few shape measures of the text, and on the log-odds of
-the categories before it.  While training, those come out of fold: a document's
+on word presence, on the text's shares of marks, capitals, digits and distinct
+words, and on the log-odds of the categories before it.  While training, those come out of fold: a document's
 earlier probabilities are from models that have not seen it, so a later model
 learns how far an earlier one is to be trusted on new documents.
 
@@ -33,8 +33,7 @@ from .common import fresh
 
 BUCKETS = 1 << 22
 _WORD = re.compile(r"\w+")
-SHAPES = 5
-LENGTHS = [0, 4]  # those that tell of length
+SHAPES = 4
 _MARK = re.compile(r"[^\w\s.,]")
 _UPPER = re.compile(r"[A-Z]")
 _DIGIT = re.compile(r"\d")
@@ -58,7 +57,7 @@ def features(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, list[f
         memo[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
     ids = np.unique(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
     n = max(len(text), 1)
-    return ids, [np.log1p(len(text)), len(_MARK.findall(text)) / n, len(_UPPER.findall(text)) / n, len(_DIGIT.findall(text)) / n, np.log1p(len(words)) - np.log1p(text.count(" "))]
+    return ids, [len(_MARK.findall(text)) / n, len(_UPPER.findall(text)) / n, len(_DIGIT.findall(text)) / n, np.log1p(len(words)) - np.log1p(text.count(" "))]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -90,10 +89,8 @@ def _matrix(docs: list[np.ndarray], shapes: np.ndarray, earlier: np.ndarray, m:
             at = np.searchsorted(m.buckets, d)
             hit = at[(at < k) & (m.buckets[np.minimum(at, k - 1)] == d)]
             x[i, hit] = 1
-    # an odd share of signs says no more than the oddest seen, and an odd length nothing
-    z = (shapes - m.center) / m.scale
-    z[:, LENGTHS] = np.where(np.abs(z[:, LENGTHS]) > 2.5, 0, z[:, LENGTHS])
-    x[:, k : k + SHAPES] = np.clip(z, -2.5, 2.5)
+    # an odd share says no more than the edge of the usual range
+    x[:, k : k + SHAPES] = np.clip((shapes - m.center) / m.scale, -2.5, 2.5)
     x[:, k + SHAPES : -1] = earlier
     x[:, -1] = 1
     return x

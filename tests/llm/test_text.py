@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -35,6 +36,36 @@ def test_chain_on_held_out_documents(spark):
     assert np.mean([(r.p_low_quality > 0.5) == (r.quality == 0) for r in rows]) > 0.98
 
 
+def test_scores_against_brute_force(spark):
+    """Word by word sums of the chain's weights, and weights at which the penalised loss is least."""
+    docs, labels = labelled(spark, 300, seed=4)
+    chain = toxicity.fitted(docs, labels)
+    rows = toxicity.score(docs, chain, toxicity.CATEGORIES, prefix="q_").collect()
+    for r in rows:
+        words = {zlib.crc32(w.encode()) % toxicity.BUCKETS for w in re.findall(r"\w+", r.text.lower())}
+        n = len(r.text)
+        shapes = [sum(c not in " .,\n" and not (c.isalnum() or c == "_") for c in r.text) / n, sum("A" <= c <= "Z" for c in r.text) / n, sum(c.isdigit() for c in r.text) / n, np.log1p(len(words)) - np.log1p(r.text.count(" "))]
+        odds: list[float] = []
+        for m in chain:
+            w = m.weights.tolist()
+            z = w[-1] + sum(x for b, x in zip(m.buckets.tolist(), w) if b in words)
+            z += sum(min(2.5, max(-2.5, (v - c) / s)) * x for v, c, s, x in zip(shapes, m.center, m.scale, w[len(m.buckets) :]))
+            z += sum(o * x for o, x in zip(odds, w[len(m.buckets) + toxicity.SHAPES :]))
+            odds.append(min(8.0, max(-8.0, z)))
+        assert np.allclose([r.q_low_quality, r.q_toxic], [1 / (1 + np.exp(-o)) for o in odds])
+
+    rng = np.random.default_rng(2)
+    some = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(200)]
+    y = np.array([float(rng.random() < (0.8 if 3 in d else 0.2)) for d in some])
+    shapes, none = rng.random((200, toxicity.SHAPES)), np.zeros((200, 0))
+    m = toxicity._fit(some, shapes, none, y, 20, 1.0)
+    x = toxicity._matrix(some, shapes, none, m)
+    penalty = np.ones(x.shape[1])
+    penalty[len(m.buckets) : len(m.buckets) + toxicity.SHAPES] = 10
+    loss = lambda w: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + 0.5 * (penalty * w * w).sum())
+    assert all(loss(m.weights) <= loss(m.weights + 0.01 * rng.standard_normal(len(m.weights))) for _ in range(200))
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     docs = [np.unique(rng.integers(0, 50, 5)).astype(np.int32) for _ in range(300)]
