@@ -32,6 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut
 
 PAIRS = "query_id long, vec_id long, score double"
 
@@ -68,8 +71,10 @@ def fit(sample: np.ndarray, cells: int, seed: int = 7, rounds: int = 12) -> Inde
     return Index(c, rotation)
 
 
-def assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids**2).sum(1) - 2 * (x @ centroids.T), axis=1)
+def assign(x: np.ndarray, centroids: np.ndarray, step: int = 1024) -> np.ndarray:
+    """Nearest centroid of each row, step rows at a time."""
+    size = (centroids**2).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(size - 2 * (x[i : i + step] @ centroids.T), axis=1) for i in range(0, len(x), step))])
 
 
 def encode(x: np.ndarray, cell: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +102,11 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def enough_probes(sample: np.ndarray, index: Index, k: int, goal: float, asked: int = 256) -> int:
     """Cells to visit so that the share `goal` of the sample's true neighbours lies in them."""
-    q = sample[:: max(1, len(sample) // asked)]
-    near = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
+    at = np.arange(0, len(sample), max(1, len(sample) // asked))
+    q = sample[at]
+    dots = q @ sample.T
+    dots[np.arange(len(at)), at] = -np.inf  # itself, wherever it ranks
+    near = np.argsort(-dots, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
     order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
     place = np.argsort(order, axis=1)
     own = assign(sample, index.centroids)
@@ -160,19 +168,24 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         codes, norm, own = encode(x, cell, index)
         return pa.StructArray.from_arrays([pa.array(cell.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(own)], ["cell", "code", "norm", "own"])
 
-    base = rows.withColumn("c", coded("v")).select("id", "v", "c.*")
+    # written once: it is counted and then searched
+    stored = "array<float>" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    base = cut(rows.withColumn("c", coded("v")).select("id", F.col("v").cast(stored).alias("v"), "c.*"), "coded").withColumn("v", F.col("v").cast("array<double>"))
     nv = {r["cell"]: r["count"] for r in base.groupBy("cell").count().collect()}  # a row for each cell
     per_cell = np.array([nv.get(c, 0) for c in range(cells)])
 
     @F.arrow_udf("array<int>")
     def visited(v: pa.Array, same: pa.Array) -> pa.Array:
         q = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), d)
-        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
-        # cells until they hold k candidates besides the query's own rows
-        need = 1 + (np.cumsum(per_cell[near], axis=1) < k + same.to_numpy(zero_copy_only=False)[:, None]).sum(axis=1)
-        return pa.array([c[:n] for c, n in zip(near.astype("i4"), np.maximum(need, probes))], pa.list_(pa.int32()))
-
-    asks = asked.withColumn("cell", F.explode(visited("v", "same"))).select("id", "v", "cell")
+        own, out = same.to_numpy(zero_copy_only=False), []
+        for i in range(0, len(q), 1024):
+            near = np.argsort(-(q[i : i + 1024] @ index.centroids.T), axis=1, kind="stable")
+            # cells until they hold k candidates besides the query's own rows
+            need = 1 + (np.cumsum(per_cell[near], axis=1) < k + own[i : i + 1024, None]).sum(axis=1)
+            out += [c[:n] for c, n in zip(near.astype("i4"), np.maximum(need, probes))]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    asks = cut(asked.withColumn("cells", visited("v", "same")), "asked").withColumn("cell", F.explode("cells")).select("id", "v", "cell")
     nq = {r["cell"]: r["count"] for r in asks.groupBy("cell").count().collect()}
     per_v = F.array(*(F.lit(-(-nv.get(c, 0) // block)) for c in range(cells)))
     per_q = F.array(*(F.lit(-(-nq.get(c, 0) // query_block)) for c in range(cells)))
