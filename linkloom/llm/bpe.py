@@ -255,7 +255,7 @@ class Words:
     A unit lies between two sure cuts: single spaces with no other white space
     beside them, where a pretoken ends whatever follows."""
 
-    def __init__(self, merges: MergeList, limit: int = 800_000, room: int = 1 << 26):
+    def __init__(self, merges: MergeList, limit: int = 600_000, room: int = 1 << 26):
         self.merges, self.limit, self.room = merges, limit, room
         self.clear()
 
@@ -400,7 +400,7 @@ class Encoder:
     Transducers of short texts take a step together, so that one call of the
     merging kernel serves them all; a longer text is fed chunk by chunk."""
 
-    def __init__(self, merges: MergeList, memo: int = 800_000, chunk: int = 1 << 18, group: int = 1 << 21):
+    def __init__(self, merges: MergeList, memo: int = 600_000, chunk: int = 1 << 18, group: int = 1 << 21):
         self.merges, self.chunk, self.group = merges, chunk, group
         self.words = Words(merges, memo)
 

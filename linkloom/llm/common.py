@@ -4,31 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tracked: ContextVar[list[str] | None] = ContextVar("tracked", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one
-    is made only where the session names none (local tests)."""
+    is made only in local mode where the session names none (tests)."""
     path = spark.conf.get(_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set(_KEY, path)
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/linkloom/{spark.sparkContext.applicationId}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/linkloom-scratch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (tracked := _tracked.get()) is not None:
+        tracked.append(path)
     return path
 
 
-#: paths of scratch tables that this process has asked for and not deleted
-_made: list[str] = []
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end the scratch tables made within; results must be written by then."""
+    made: list[str] = []
+    token = _tracked.set(made)
+    try:
+        yield
+    finally:
+        _tracked.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -49,23 +77,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _made:
-        _made.remove(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/linkloom-scratch/" in f}:
-        delete(df.sparkSession, path)
-
-
-def made_since(n: int) -> list[str]:
-    """Scratch tables made after the first n."""
-    return _made[n:]
 
 
-def made() -> int:
-    return len(_made)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/linkloom/" in f}:
+            delete(df.sparkSession, path)
 
 
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node reachable, for every node of edges (a, b).
 
     Each round points a node's larger neighbours, then its smaller ones, at
@@ -32,13 +32,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = sign(state)
-    for _ in range(rounds):
+    while True:  # every round but the last joins nodes to lesser ones
         after = cut(star(star(state, True), False), "cc")
         now = sign(after)
         if now == before:
+            drop(state)
             # stars: every node points at the least of its component
             out = after.select(F.col("b").alias("node"), F.col("a").alias("comp"))
             return out.union(after.select(F.col("a"), F.col("a")).distinct())
         drop(state)
         state, before = after, now
-    raise RuntimeError("components did not settle")

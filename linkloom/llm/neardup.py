@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, drop, shuffle_parts
 from .components import components
 from .shingles import Shingler, mix
 
@@ -369,16 +369,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         p = p.join(k, p["a"] == k["k"], "left").select("a", "b", "agree", F.coalesce("v", "a").alias("ca"))
         return p.join(k, p["b"] == k["k"], "left").where(F.coalesce("v", "b") != F.col("ca")).select("a", "b", "agree")
 
+    rows, signed = signed, cut(signed.select("doc_id", "n", "c"), "own")
+    drop(rows)
     links = cut(confirm(best(pairs), sets, threshold), "links")
     comp = cut(components(links), "comp")
     placed = nodes.join(comp, nodes["c"] == comp["node"], "left").select(nodes["node"], "c", F.coalesce("comp", "c").alias("comp")).join(classes.select("c", "n"), "c")
     found = cut(whole(placed, sets, threshold, parts), "links")
     if not found.isEmpty():
-        links = links.union(found)
+        links, first = links.union(found), comp
         comp = cut(components(links), "comp")
+        drop(first)
     rest = cut(confirm(apart(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))).select("a", "b"), sets, threshold), "links")
     if not rest.isEmpty():
-        comp = components(links.union(rest))
+        first = comp
+        comp = cut(components(links.union(rest)), "comp")
+        drop(first)
+    drop(classes, met, sets, links, rest)
     own = signed.select("doc_id", "n", "c").join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     low = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
     out = own.join(low, "comp", "left")

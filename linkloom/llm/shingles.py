@@ -19,7 +19,7 @@ class Shingler:
     """Sets of n-word shingles; A-Z count as a-z, words end at ASCII white space.
     A text of fewer words is one shingle, one without words has none."""
 
-    def __init__(self, n: int, memo: int = 800_000):
+    def __init__(self, n: int, memo: int = 200_000):
         self.n, self.limit, self.memo = n, memo, {}
 
     def of(self, text: str | None) -> np.ndarray:

@@ -41,8 +41,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, drop, shuffle_parts
 from .shingles import mix
@@ -53,8 +54,8 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _POS = _U((1 << 24) - 1)
 CHUNK = 1 << 20
-BATCH = 100_000  # entries of a batch's suffix array
-ROOM = 600_000  # entries of a family
+BATCH = 60_000  # entries of a batch's suffix array
+ROOM = 300_000  # entries of a family
 WINDOWS = 1 << 20  # windows of a batch
 # kinds of rows
 LONE, SEVERAL, REPEAT, BORDER = 0, 1, 2, 3
@@ -357,10 +358,14 @@ _FORMS = {"bytes": bytes, "sha256": lambda x: hashlib.sha256(x).digest(), "text"
 STATE = "done boolean, doc long, n_bytes long, n_removed long, n_spans long, kept binary, gone binary, borders binary"
 
 
-def _state(**cols) -> pa.RecordBatch:
+def _state(more: list[pa.Array], **cols) -> pa.RecordBatch:
     n = len(cols["doc"])
     types = {"done": pa.bool_(), "doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "gone": pa.binary(), "borders": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+    return pa.RecordBatch.from_arrays([*(pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items()), *more], names=[*types, *["row"][: len(more)]])
+
+
+def _schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(STATE), *(f for f in rows.schema if f.name == "row")])
 
 
 def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
@@ -387,9 +392,9 @@ def _apply(rows: DataFrame, span: int, form: str) -> DataFrame:
                         row = (True, doc, len(data), removed, spans, _FORMS[form](kept), None, None)
                     for c, v in zip(out, row):
                         out[c].append(v)
-                yield _state(**out)
+                yield _state(b.columns[3:], **out)
 
-    return rows.mapInArrow(run, STATE)
+    return rows.mapInArrow(run, _schema(rows))
 
 
 def _runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,34 +469,36 @@ def _finish(rows: DataFrame, span: int, form: str) -> DataFrame:
             for at_row in range(0, whole.num_rows, 256):
                 b = whole.slice(at_row, 256)
                 out: dict[str, list] = {c: [] for c in ("done", "doc", "n_bytes", "n_removed", "n_spans", "kept")}
-                for doc, data, gone, ats in zip(*(c.to_pylist() for c in b.columns)):
+                for doc, data, gone, ats in zip(*(c.to_pylist() for c in b.columns[:4])):
                     a, z = np.frombuffer(gone, np.int64).reshape(2, -1)
                     s = np.array(ats or [], np.int64)
                     removed, spans, kept = _cut_out(data, np.concatenate([a, s]), np.concatenate([z, s + span]))
                     for c, v in zip(out, (True, doc, len(data), removed, spans, _FORMS[form](kept))):
                         out[c].append(v)
-                yield _state(**out)
+                yield _state(b.columns[4:], **out)
 
-    return rows.mapInArrow(run, STATE)
+    return rows.mapInArrow(run, _schema(rows))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 48, form: str = "bytes") -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans, kept of every document.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = 48, form: str = "bytes", carry: Column | None = None) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans, kept of every document, and as row what carry has there.
 
     kept is by form the remaining "bytes", their "sha256", or as "text" those of
     them that make whole characters; k: length of anchors."""
     if not 1 <= k < span or span - k >= 256:
         raise ValueError("k must be less than span, and by less than 256")
-    texts = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
+    more = [] if carry is None else [carry.alias("row")]
+    texts = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"), *more)
+    rest = [F.col("row")][: len(more)]
     parts = shuffle_parts(docs.sparkSession)
-    marks = cut(_global(_local(texts, span, k), parts), "marks")
+    marks = cut(_global(_local(texts.select("doc", "text"), span, k), parts), "marks")
     own = marks.groupBy("doc").agg(F.collect_set("at").alias("ats"))  # as many as the document's length allows
-    state = cut(_apply(texts.join(own, "doc", "left").select("doc", "text", "ats"), span, form), "state")
+    state = cut(_apply(texts.join(own, "doc", "left").select("doc", "text", "ats", *rest), span, form), "state")
     drop(marks)
     pending = state.where("not done")
     again = cut(_windows(pending, span, parts), "again").groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    late = _finish(pending.select("doc", "kept", "gone").join(again, "doc", "left"), span, form)
-    return state.where("done").union(late).select("doc", "n_bytes", "n_removed", "n_spans", "kept")
+    late = _finish(pending.select("doc", "kept", "gone", *rest).join(again, "doc", "left").select("doc", "kept", "gone", "ats", *rest), span, form)
+    return state.where("done").union(late).select("doc", "n_bytes", "n_removed", "n_spans", "kept", *rest)
 
 
 def digest(documents: DataFrame) -> DataFrame:

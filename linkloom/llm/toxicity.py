@@ -50,7 +50,7 @@ def features(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, list[f
     """Buckets of the distinct words, ascending, and shape measures."""
     text = text or ""
     words = set(_WORD.findall(text.lower()))
-    if len(memo) > 500_000:
+    if len(memo) > 100_000:
         memo.clear()
     new = words.difference(memo)
     for w in new:
