@@ -6,15 +6,17 @@ as Parquet and read again as the next stage's docs.  All but the last return
 the columns of documents, with n_chars kept true to the text.
 
 Defined results: null texts stay null up to packing, where they are empty;
-documents without an id can't be told apart and pass both deduplications;
-other columns of docs are kept; an empty table gives an empty table.
+documents without an id can't be told apart and pass both deduplications; of
+rows with one id near_dedup keeps that of the least text, then of the least
+digest of all columns; other columns of docs are kept; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import common, neardup, packing, pii, queries, suffixes
@@ -22,25 +24,8 @@ from linkloom.llm import toxicity as tox
 
 KEY = "linkloom"
 THRESHOLD = 0.5
-_done: list[str] = []
 
 
-def _stage(f):
-    """Deletes the scratch tables of the stage before, whose result is written by now."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _done:
-            common.delete(spark, _done.pop())
-        n = common.made()
-        out = f(spark, docs, sf_dir)
-        _done.extend(common.made_since(n))
-        return out
-
-    run.__doc__ = f.__doc__
-    return run
-
-
-@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -51,12 +36,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(f"{prefix}toxic") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies."""
+    (place,) = common.fresh(docs, "__place__")
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*columns))
+    first = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
+    return first.select(*columns).union(docs.where("doc_id is null").select(*columns))
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -64,24 +51,20 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
     return docs.withColumns({c: x for c, x in swap.items() if c in docs.columns})
 
 
-@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without bytes that a 100-byte string repeats from further up."""
-    key, kept = common.fresh(docs, "__doc__", "__kept__")
-    left = suffixes.remove_repeats(docs, form="text").where("doc is not null").select(F.col("doc").alias(key), F.col("kept").alias(kept)).dropDuplicates([key])
-    blank = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("")))
-    known = blank.where("doc_id is not null").join(left, F.col("doc_id").cast("long") == left[key])
-    known = _with_text(known, F.when(F.col("text").isNotNull(), F.col(kept).cast("string")))
-    return known.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where("doc_id is null"))
+    row = F.struct(F.col("text").isNull().alias("null"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("of"))
+    left = suffixes.remove_repeats(docs, form="text", carry=row)
+    text = F.when(~F.col("row")["null"], F.col("kept").cast("string"))
+    out = left.select(*(text.alias(c) if c == "text" else F.col("row")["of"][c].alias(c) for c in docs.columns))
+    return _with_text(out, F.col("text"))
 
 
-@_stage
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
     return pii.replace(docs, key=KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
     return packing.pack(docs, queries.vocab_path())
@@ -93,8 +76,11 @@ ORACLE_SQL = None  # classifier, set join and packing are not for SQL; tests hol
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.shared_dir(spark)}/linkloom-pipeline/{uuid.uuid4().hex}"
+    folder, before = f"{common.own_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            common.delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
