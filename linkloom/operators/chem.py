@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import molecule as M
 from linkloom.functions import smiles as S
-from linkloom.plans.base import ColumnLink, Context, InColumn, Link, RowLink, RowLogger, append_errors, c, register
+from linkloom.functions.crippen import logp
+from linkloom.plans.base import ERROR, ColumnLink, Context, InColumn, Link, RowLink, RowLogger, append_errors, c, compile_rows, register
 
 NO_MOL = "TypeError: not a molecule"
 
@@ -57,24 +59,37 @@ class PandasAddMoleculeColumn(Link):
             raise ImportError("fingerprints need RDKit, which is not installed")
 
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
-        @F.udf(M.MOL)
+        from pyspark.sql.pandas.types import to_arrow_type
+
         def mol(text: str | None) -> dict | None:
             try:
                 return S.parse(text)
             except S.SmilesError:
                 return None
 
-        out = df.withColumn(self.molCol, mol.asNondeterministic()(c(self.smilesCol).cast("string")))
+        kind = T.StructType.fromDDL(f"m {M.MOL}")[0].dataType
+        arrow = to_arrow_type(kind)
+
+        def kernel(texts: pa.Array) -> pa.Array:
+            return pa.array([mol(x) for x in texts.to_pylist()], arrow)
+
+        out = df.withColumn(self.molCol, F.arrow_udf(kernel, kind).asNondeterministic()(c(self.smilesCol).cast("string")))
         return append_errors(out, F.when(c(self.molCol).isNull(), F.lit("Error in SMILES conversion")))
 
 
 @register
 @dataclass
 class MolToSmiles(ColumnLink):
-    """SMILES of molecules, in input order."""
+    """SMILES of molecules, in input order, or canonical ones: the same for any order of the atoms."""
 
     in_column: InColumn = "ROMol"
     out_column: str = "Smiles"
+    canonical: bool = False
+
+    def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
+        if self.canonical:
+            return compile_rows([_Canonical(self.in_column, self.out_column)], df, ctx)
+        return super().compile(df, ctx)
 
     def exprs(self, df: DataFrame) -> dict[str, Column]:
         return {self.out_column: _mol(df, self.in_column)["smiles"]}
@@ -83,6 +98,39 @@ class MolToSmiles(ColumnLink):
         return [(_no_mol(df, self.in_column), NO_MOL)]
 
 
+@dataclass
+class _FromMol(RowLink):
+    """A value of a molecule, in Python."""
+
+    in_column: InColumn = "ROMol"
+    out_column: str = ""
+    kind = "string"
+
+    def needs(self) -> list[str]:
+        return [self.in_column]
+
+    def output(self) -> str:
+        return f"`{self.out_column}` {self.kind}"
+
+    def value(self, mol: dict) -> object:
+        raise NotImplementedError
+
+    def row_apply(self, row: dict, log: RowLogger) -> dict:
+        return {self.out_column: self.value(_plain(row[self.in_column]))}
+
+
+class _Canonical(_FromMol):
+    def value(self, mol: dict) -> str:
+        return S.canonical(mol)
+
+
+class _LogP(_FromMol):
+    kind = "double"
+
+    def value(self, mol: dict) -> float:
+        return logp(mol)
+
+
 @dataclass
 class _MolLink(ColumnLink):
     in_column: InColumn = "ROMol"
@@ -135,31 +183,6 @@ class ElementsInList(_MolLink):
         return M.elements_in(mol, self.allowed_elements)
 
 
-def longest_chain(mol: dict) -> int:
-    """Atoms of the longest chain of single-bonded CH2 outside rings."""
-    chain = {i for i, a in enumerate(mol["atoms"]) if a["z"] == 6 and not a["aromatic"] and not a["ring"] and a["h"] == 2}
-    near: dict[int, list[int]] = {i: [] for i in chain}
-    for b in mol["bonds"]:
-        if b["order"] == 1.0 and b["a"] in chain and b["b"] in chain:
-            near[b["a"]].append(b["b"])
-            near[b["b"]].append(b["a"])
-    best, seen = 0, set()
-    for i in chain:  # such atoms have two heavy neighbours at most: their components are paths
-        if i in seen:
-            continue
-        seen.add(i)
-        todo, n = [i], 0
-        while todo:
-            v = todo.pop()
-            n += 1
-            for w in near[v]:
-                if w not in seen:
-                    seen.add(w)
-                    todo.append(w)
-        best = max(best, n)
-    return best
-
-
 def _plain(mol: object) -> dict:
     if hasattr(mol, "asDict"):
         mol = mol.asDict(True)
@@ -170,60 +193,54 @@ def _plain(mol: object) -> dict:
 
 @register
 @dataclass
-class LongestAliphaticChain(RowLink):
+class LongestAliphaticChain(_MolLink):
     """Length of the longest chain of CH2; at or above the maximum it is 0, or the maximum with saturate."""
 
-    in_column: InColumn = "ROMol"
     out_column: str = "LongestAliphaticChain"
     max_chain_length: int = 11
     saturate: bool = False
 
-    def needs(self) -> list[str]:
-        return [self.in_column]
-
-    def output(self) -> str:
-        return f"`{self.out_column}` int"
-
-    def row_apply(self, row: dict, log: RowLogger) -> dict:
-        n = longest_chain(_plain(row[self.in_column]))
-        return {self.out_column: n if n < self.max_chain_length else self.max_chain_length if self.saturate else 0}
-
-
-def _rings(m: dict) -> int:
-    return len(m["bonds"]) - len(m["atoms"]) + len(S.fragments(m))
+    def value(self, mol: Column) -> Column:
+        return F.when(mol["chain"] < self.max_chain_length, mol["chain"]).otherwise(F.lit(self.max_chain_length if self.saturate else 0))
 
 
-# what can be computed here; MolLogP needs RDKit
+# what can be computed here: over the molecule's columns, and MolLogP in Python
 DESCRIPTORS = {
-    "MolWt": lambda m: float(sum((a["isotope"] or S.WEIGHTS[S.ELEMENTS[a["z"] - 1]]) + a["h"] * S.WEIGHTS["H"] for a in m["atoms"])),
-    "HeavyAtomCount": lambda m: float(sum(a["z"] > 1 for a in m["atoms"])),
-    "NumHeteroatoms": lambda m: float(sum(a["z"] not in (1, 6) for a in m["atoms"])),
-    "NumHDonors": lambda m: float(sum(a["z"] in (7, 8) and a["h"] > 0 for a in m["atoms"])),
-    "NumHAcceptors": lambda m: float(sum(a["z"] in (7, 8) and a["charge"] <= 0 and not (a["aromatic"] and a["h"]) for a in m["atoms"])),
-    "RingCount": lambda m: float(_rings(m)),
+    "MolWt": M.weight,
+    "HeavyAtomCount": M.heavy_atoms,
+    "NumHeteroatoms": M.hetero_atoms,
+    "NumHDonors": M.donors,
+    "NumHAcceptors": M.acceptors,
+    "RingCount": M.rings,
 }
 
 
 @register
 @dataclass
-class RDKitDescriptors(RowLink):
+class RDKitDescriptors(ColumnLink):
     """A column for each descriptor."""
 
     in_column: InColumn = "ROMol"
     descriptors: list[str] = field(default_factory=lambda: ["MolWt", "MolLogP", "NumHAcceptors", "NumHDonors"])
 
-    def needs(self) -> list[str]:
-        return [self.in_column]
-
-    def output(self) -> str:
-        unknown = [d for d in self.descriptors if d not in DESCRIPTORS]
+    def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
+        unknown = [d for d in self.descriptors if d not in DESCRIPTORS and d != "MolLogP"]
         if unknown:
             raise ImportError(f"descriptors {unknown} need RDKit, which is not installed")
-        return ", ".join(f"`{d}` double" for d in self.descriptors)
+        out = compile_rows([_LogP(self.in_column, "MolLogP")], df, ctx) if "MolLogP" in self.descriptors else df
+        out = super().compile(out, ctx)
+        last = {d: None for d in self.descriptors} | {ERROR: None}
+        return out.select(*(c(n) for n in out.columns if n not in last or n in df.columns), *(c(n) for n in last if n not in df.columns))
 
-    def row_apply(self, row: dict, log: RowLogger) -> dict:
-        mol = _plain(row[self.in_column])
-        return {d: DESCRIPTORS[d](mol) for d in self.descriptors}
+    def sets(self) -> set[str]:
+        return set(self.descriptors)
+
+    def exprs(self, df: DataFrame) -> dict[str, Column]:
+        mol = _mol(df, self.in_column)
+        return {d: DESCRIPTORS[d](mol).cast("double") for d in self.descriptors if d != "MolLogP"}
+
+    def errors(self, df: DataFrame) -> list[tuple[Column, str | Column]]:
+        return [(_no_mol(df, self.in_column), NO_MOL)]
 
 
 @register
@@ -279,7 +296,7 @@ def parent(mol: dict) -> dict:
             a["h"], a["charge"] = a["h"] - a["charge"], 0
         elif a["charge"] < 0 and a["z"] in (7, 8, 16) and not any(atoms[w]["charge"] > 0 for w, _ in near[i]):
             a["h"], a["charge"] = a["h"] - a["charge"], 0
-    out = {"atoms": atoms, "bonds": bonds, "smiles": ""}
+    out = S.counted({"atoms": atoms, "bonds": bonds, "smiles": ""})
     return out | {"smiles": S.write(out)}
 
 
