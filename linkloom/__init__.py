@@ -19,7 +19,7 @@ from linkloom.operators.errors import StripErrors
 from linkloom.operators.model import ScikitMolModelServer, ScikitMolMolModel, ScikitMolSmilesModel
 from linkloom.operators.partition import ParallelPartitionProcessor, SerialPartitionProcessor
 from linkloom.operators.table import DfEval, DropColumns, DropDuplicates, DropTable, KeepColumns, NullLink, Query, RenameColumns, RowEval
-from linkloom.plans.base import Chain, ColumnLink, Link, RowLink, RowLogger, UnionLink, register
+from linkloom.plans.base import BatchLink, Chain, ColumnLink, Link, RowLink, RowLogger, UnionLink, register
 from linkloom.sources.files import FromFile, ToFile
 from linkloom.toolbox import LinkToolbox, toolbox
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.plans.base import ColumnLink, Context, InColumn, Link, append_errors, c, register
+from linkloom.plans.base import ColumnLink, Context, InColumn, Link, append_errors, c, fresh, register
 
 
 def _number(df: DataFrame, name: str) -> tuple[Column, Column]:
@@ -51,5 +51,6 @@ class LinearModelDf(Link):
 
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
         value, _ = _number(df, self.in_column)
-        out = df.withColumns({self.out_column: F.lit(float(self.slope)) * value + F.lit(float(self.bias)), "__failed__": value.isNull()})
-        return append_errors(out, F.when(F.col("__failed__"), F.lit(f"Error in {self.in_column} row data"))).drop("__failed__")
+        (failed,) = fresh(df, "__failed__")
+        out = df.withColumns({self.out_column: F.lit(float(self.slope)) * value + F.lit(float(self.bias)), failed: value.isNull()})
+        return append_errors(out, F.when(F.col(failed), F.lit(f"Error in {self.in_column} row data"))).drop(failed)

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.plans.base import ERROR, Context, Link, c, register
+from linkloom.plans.base import ERROR, Context, Link, c, register, stable
 
 
 def has_error(row: Any) -> bool:
@@ -50,11 +50,11 @@ class StripErrors(Link):
         if ERROR not in df.columns:
             self.error_df = df.where(F.lit(False))
             return df
-        bad = error_condition(df)
-        if self.filename:
-            df = df.persist()  # two consumers
+        bad, sink = error_condition(df), self.filename and not ctx.dry
+        if sink:
+            df = stable(df)  # three consumers
         self.error_df = df.where(bad)
-        if self.filename and self.has_errors:
+        if sink and self.has_errors:
             from linkloom.sources.files import write_csv
 
             write_csv(self.error_df, self.filename, {})

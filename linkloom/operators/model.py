@@ -10,20 +10,20 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from linkloom.plans.base import InColumn, RowLink, RowLogger, register
+from linkloom.plans.base import BatchLink, InColumn, RowLogger, register
 
 
 @lru_cache(maxsize=8)
-def _model(path: str) -> Any:
-    with open(path, "rb") as f:
-        return pickle.load(f)  # noqa: S301  the caller has allowed it
+def _model(data: bytes) -> Any:
+    return pickle.loads(data)  # noqa: S301  the caller has allowed it
 
 
 @dataclass
-class ModelLink(RowLink):
-    """A model's prediction for each row; the model is loaded once per worker.
+class ModelLink(BatchLink):
+    """A model's predictions, batch by batch; the model is loaded once per worker.
 
-    Unpickling runs code of the file, so it has to be allowed."""
+    If a batch fails its rows are predicted one by one.  Unpickling runs code of
+    the file, so it has to be allowed."""
 
     model_file: str
     out_column: str = "skmol_prediction"
@@ -33,15 +33,22 @@ class ModelLink(RowLink):
         if not self.allow_pickle:
             raise ValueError("set allow_pickle=True to load a pickled model that you trust")
 
+    def bind(self, spark: SparkSession) -> None:
+        """Reads the file where Spark can; workers get its bytes and unpickle them once."""
+        rows = spark.read.format("binaryFile").load(self.model_file).select("content").collect()
+        if len(rows) != 1:
+            raise ValueError(f"{self.model_file} is no file")
+        self._data = bytes(rows[0][0])
+
     def needs(self) -> list[str]:
         return [self.in_column]
 
     def output(self) -> str:
         return f"`{self.out_column}` double"
 
-    def row_apply(self, row: dict, log: RowLogger) -> dict:
-        x = row[self.in_column]
-        return {self.out_column: float(_model(self.model_file).predict([x.asDict(True) if hasattr(x, "asDict") else x])[0])}
+    def batch_apply(self, columns: dict[str, list], log: RowLogger) -> dict[str, list]:
+        rows = [x.asDict(True) if hasattr(x, "asDict") else x for x in columns[self.in_column]]
+        return {self.out_column: [float(y) for y in _model(self._data).predict(rows)]}
 
 
 @register

@@ -40,7 +40,7 @@ class PartitionProcessorBase(Link):
             return self.link.apply(self.spread(df), ctx)
         name = f"__piece{len(ctx.scope)}__"
         cutup = pieces(df, name, order_by=self.order_by, scope=ctx.scope, size=self.partition_size, number=self.num_partitions)
-        out = self.link.apply(self.spread(cutup), Context([*ctx.scope, name], ctx.hidden, ctx.keep))
+        out = self.link.apply(self.spread(cutup), Context([*ctx.scope, name], ctx.hidden, ctx.keep, ctx.dry))
         if ROW_ID in out.columns and ROW_ID not in df.columns:
             out = out.drop(ROW_ID)
         return out.drop(name) if name in out.columns else out

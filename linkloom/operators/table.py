@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.plans import expr
-from linkloom.plans.base import ColumnLink, Context, Link, c, empty_table, register
+from linkloom.plans.base import ROW_ID, ColumnLink, Context, Link, c, empty_table, fresh, register
 from linkloom.plans.rows import order_of, with_row_id
 
 
@@ -101,8 +101,15 @@ class DropDuplicates(Link):
         _require(df, [*self.columns, *self.order_by], "DropDuplicates")
         rows = df if self.order_by else with_row_id(df)
         key = [_nan_as_null(rows, n) for n in self.columns]
-        place = F.row_number().over(Window.partitionBy(*(c(n) for n in ctx.scope), *key).orderBy(*order_of(rows, self.order_by)))
-        return rows.withColumn("__place__", place).where("__place__ = 1").drop("__place__")
+        flag = [c(ctx.keep)] if ctx.keep else []  # rows that are gone are first of none
+        place = F.row_number().over(Window.partitionBy(*(c(n) for n in ctx.scope), *flag, *key).orderBy(*order_of(rows, self.order_by)))
+        (tmp,) = fresh(rows, "__place__")
+        out = ctx.where(rows.withColumn(tmp, place), F.col(tmp) == 1).drop(tmp)
+        return out.drop(ROW_ID) if ctx.keep and ROW_ID not in df.columns else out
+
+    @property
+    def flags_rows(self) -> bool:
+        return True
 
 
 def _nan_as_null(df: DataFrame, name: str) -> Column:

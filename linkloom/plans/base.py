@@ -50,6 +50,7 @@ class Context:
     scope: list[str] = field(default_factory=list)  # pieces: operators across rows stay within them
     hidden: list[str] = field(default_factory=list)  # columns that projections must carry along
     keep: str | None = None  # filters set this flag instead of dropping rows
+    dry: bool = False  # nothing is written
 
     def visible(self, df: DataFrame) -> list[str]:
         out = {*self.hidden, *self.scope, ROW_ID, *([self.keep] if self.keep else [])}
@@ -71,6 +72,23 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working column names that clash with none of df's, case aside."""
+    taken, out = {n.lower() for n in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df for several readers, who must see the same rows: a checkpoint where the
+    cluster names a folder for them, else a cached table."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def empty_table(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([], T.StructType([]))
 
@@ -166,6 +184,11 @@ class Link(Configurable):
     #: each output row depends on one input row only
     row_local = False
 
+    @property
+    def flags_rows(self) -> bool:
+        """Rows only change or go, and with Context.keep they get a flag instead of going."""
+        return self.row_local
+
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
         raise NotImplementedError
 
@@ -180,8 +203,10 @@ class Link(Configurable):
         return out if had or ROW_ID not in out.columns else out.drop(ROW_ID)
 
     def output_schema(self, schema: T.StructType, spark) -> T.StructType:
-        """Schema of the result, without running anything."""
-        return self(spark.createDataFrame([], schema)).schema
+        """Schema of the result; sinks write nothing for it."""
+        ctx = Context(dry=True)
+        out = self.apply(spark.createDataFrame([], schema), ctx)
+        return out.schema if ROW_ID in schema.names or ROW_ID not in out.columns else out.drop(ROW_ID).schema
 
     def in_columns(self) -> list[str]:
         kinds = typing.get_type_hints(type(self), include_extras=True)
@@ -226,6 +251,10 @@ class ColumnLink(Link):
     def exprs(self, df: DataFrame) -> dict[str, Column]:
         raise NotImplementedError
 
+    def sets(self) -> set[str] | None:
+        """The columns it sets, where that is known without a table."""
+        return {self.out_column} if hasattr(self, "out_column") else None
+
     def errors(self, df: DataFrame) -> list[tuple[Column, str | Column]]:
         """Conditions under which a row fails, and the messages."""
         return []
@@ -284,15 +313,75 @@ class RowLink(Link):
     def needs(self) -> list[str] | None:
         return None
 
+    def sets(self) -> set[str] | None:
+        return set(T.StructType.fromDDL(self.output()).names)
+
     def row_apply(self, row: dict, log: RowLogger) -> dict:
         raise NotImplementedError
 
+    def bind(self, spark) -> None:
+        """Called on the driver when a plan is made."""
+
     def prepare(self) -> None:
         """Called once a batch, before its rows."""
 
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
         return compile_rows([self], df, ctx)
 
+    def run(self, columns: dict[str, list], errors: list[str | None], lines: list[list[str]]) -> None:
+        """Applies the link to a batch, in place; rows that have an error are passed over."""
+        for i, error in enumerate(errors):
+            if error:
+                continue
+            log = RowLogger(self.log_level)
+            try:
+                for n, value in self.row_apply({n: v[i] for n, v in columns.items()}, log).items():
+                    columns.setdefault(n, [None] * len(errors))[i] = _present(value)
+            except Exception as e:  # noqa: BLE001  a row's failure is its own
+                errors[i] = f"{type(e).__name__}: {e}"
+            lines[i] += log.lines
+
+
+class BatchLink(RowLink):
+    """A row step in Python over whole batches: batch_apply(columns) gets lists of
+    values by column, of rows without error, and returns the lists it sets.
+
+    If a batch fails its rows are tried one by one, so an exception becomes the
+    error of the rows that cause it."""
+
+    def batch_apply(self, columns: dict[str, list], log: RowLogger) -> dict[str, list]:
+        raise NotImplementedError
+
+    def run(self, columns: dict[str, list], errors: list[str | None], lines: list[list[str]]) -> None:
+        good = [i for i, error in enumerate(errors) if not error]
+
+        def attempt(rows: list[int]) -> None:
+            log = RowLogger(self.log_level)
+            found = self.batch_apply({n: [v[i] for i in rows] for n, v in columns.items()}, log)
+            for n, values in found.items():
+                if len(values) != len(rows):
+                    raise ValueError(f"{type(self).__name__} made {len(values)} values of {n} for {len(rows)} rows")
+            for n, values in found.items():
+                column = columns.setdefault(n, [None] * len(errors))
+                for i, value in zip(rows, values):
+                    column[i] = _present(value)
+            for i in rows:
+                lines[i] += log.lines
+
+        try:
+            if good:
+                attempt(good)
+        except Exception:  # noqa: BLE001  which rows it is shows one by one
+            for i in good:
+                try:
+                    attempt([i])
+                except Exception as e:  # noqa: BLE001
+                    errors[i] = f"{type(e).__name__}: {e}"
+
+
+def _present(x: Any) -> Any:
+    return None if isinstance(x, float) and x != x else x
+
 
 def compile_rows(links: list[RowLink], df: DataFrame, ctx: Context) -> DataFrame:
     """One Arrow function for a run of row links."""
@@ -300,6 +389,7 @@ def compile_rows(links: list[RowLink], df: DataFrame, ctx: Context) -> DataFrame
 
     fields: dict[str, T.StructField] = {}
     for link in links:
+        link.bind(df.sparkSession)
         for f in T.StructType.fromDDL(link.output()):
             fields[f.name] = T.StructField(f.name, f.dataType, True)
     needs: list[str] = []
@@ -310,37 +400,27 @@ def compile_rows(links: list[RowLink], df: DataFrame, ctx: Context) -> DataFrame
         if n in df.columns and n not in needs and df.schema[n].dataType == fields[n].dataType:
             needs.append(n)
     result = T.StructType([*fields.values(), T.StructField(ERROR, T.StringType()), T.StructField(LOG, T.StringType())])
-    names, levels = list(fields), [link.log_level for link in links]
+    names = list(fields)
     old_error = c(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
     row_in = F.struct(*(c(n).alias(f"c{i}") for i, n in enumerate(needs)), old_error.alias("e"))
-
-    def value(x: Any) -> Any:
-        return None if isinstance(x, float) and x != x else x
-
     arrow = to_arrow_type(result)
 
     def kernel(rows: pa.Array) -> pa.Array:
-        out = []
         for link in links:
             link.prepare()
-        for values in rows.to_pylist():
-            row = {n: value(values[f"c{i}"]) for i, n in enumerate(needs)}
-            error, lines = values["e"] or None, []
-            for link, level in zip(links, levels):
-                if error:
-                    break
-                log = RowLogger(level)
-                try:
-                    row |= {k: value(v) for k, v in link.row_apply(dict(row), log).items()}
-                except Exception as e:  # noqa: BLE001  a row's failure is its own
-                    error = f"{type(e).__name__}: {e}"
-                lines += log.lines
-            out.append({n: row.get(n) for n in names} | {ERROR: error, LOG: "\n".join(lines) or None})
-        return pa.array(out, arrow)
+        fields = rows.flatten()
+        columns = {n: [_present(x) for x in fields[i].to_pylist()] for i, n in enumerate(needs)}
+        errors = [e or None for e in fields[-1].to_pylist()]
+        lines: list[list[str]] = [[] for _ in errors]
+        for link in links:
+            link.run(columns, errors, lines)
+        made = [columns.get(n, [None] * len(errors)) for n in names]
+        logs = ["\n".join(x) or None for x in lines]
+        return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip([*made, errors, logs], arrow)], fields=list(arrow))
 
     call = F.arrow_udf(kernel, result)
     # not deterministic for the optimizer: it must not run a kernel twice
-    tmp = "__kernel__"
+    (tmp,) = fresh(df, "__kernel__")
     made = df.withColumn(tmp, call.asNondeterministic()(row_in))
     logs = F.nullif(F.concat_ws("\n", c(LOG) if LOG in df.columns else F.lit(None).cast("string"), F.col(f"{tmp}.{LOG}")), F.lit(""))
     any_log = LOG in df.columns or any(getattr(link, "logs", False) for link in links)
@@ -362,6 +442,10 @@ class Chain(Link):
     def row_local(self) -> bool:
         return all(link.row_local for link in self.links)
 
+    @property
+    def flags_rows(self) -> bool:
+        return all(link.flags_rows for link in self.links)
+
     def children(self) -> list[Link]:
         return self.links
 
@@ -391,7 +475,7 @@ class Chain(Link):
         return df
 
     def _hoisted(self) -> list[Link]:
-        """Filters move before row kernels whose columns they don't read."""
+        """Filters move before row steps whose columns they don't read."""
         from linkloom.operators.table import Query
 
         links: list[Link] = []
@@ -399,9 +483,9 @@ class Chain(Link):
             links.extend(link._hoisted() if isinstance(link, Chain) else [link])
         for i, link in enumerate(links):
             j = i
-            while isinstance(link, Query) and link.query and j and isinstance(links[j - 1], RowLink):
-                reads, sets = link.reads(), {*T.StructType.fromDDL(links[j - 1].output()).names, ERROR, LOG}
-                if reads is None or reads & sets:
+            while isinstance(link, Query) and link.query and j and isinstance(links[j - 1], (RowLink, ColumnLink)):
+                reads, sets = link.reads(), links[j - 1].sets()
+                if reads is None or sets is None or reads & {*sets, ERROR, LOG}:
                     break
                 links[j - 1 : j + 1] = [links[j], links[j - 1]]
                 j -= 1
@@ -424,14 +508,20 @@ class UnionLink(Link):
     def row_local(self) -> bool:
         return False
 
+    @property
+    def row_local_branches(self) -> bool:
+        return self.link1.row_local and self.link2.row_local
+
     def children(self) -> list[Link]:
         return [self.link1, self.link2]
 
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
-        if self.link1.row_local and self.link2.row_local and not ctx.hidden and ctx.keep is None:
+        if self.link1.flags_rows and self.link2.flags_rows and not ctx.hidden and ctx.keep is None:
+            if not self.row_local_branches and ROW_ID not in df.columns:
+                df = df.withColumn(ROW_ID, F.monotonically_increasing_id())  # one order for both branches
             return self._one_pass(df, ctx)
         if ROW_ID not in df.columns:
-            df = df.withColumn(ROW_ID, F.monotonically_increasing_id()).persist()
+            df = stable(df.withColumn(ROW_ID, F.monotonically_increasing_id()))
         left, right = self.link1.apply(df, ctx), self.link2.apply(df, ctx)
         if is_no_table(right):
             return left
@@ -451,18 +541,19 @@ class UnionLink(Link):
     def _one_pass(self, df: DataFrame, ctx: Context) -> DataFrame:
         names, carried = ctx.visible(df), ctx.carried(df)
         whole = [c(n) for n in carried]
-        inner = Context(scope=ctx.scope, hidden=["__in__", "__left__"], keep="__keep__")
-        rows = df.select(*whole, F.struct(*(c(n) for n in names)).alias("__in__"), *(c(n) for n in names), F.lit(True).alias("__keep__"))
+        first, second, keep, kept = fresh(df, "__in__", "__left__", "__keep__", "__kept__")
+        inner = Context(scope=ctx.scope, hidden=[first, second], keep=keep, dry=ctx.dry)
+        rows = df.select(*whole, F.struct(*(c(n) for n in names)).alias(first), *(c(n) for n in names), F.lit(True).alias(keep))
         left = self.link1.apply(rows, inner)
         lnames = inner.visible(left)
-        again = left.select(*whole, F.struct(F.col("__keep__").alias("__k__"), *(c(n) for n in lnames)).alias("__left__"), "__in__")
-        again = again.select(*whole, "__left__", "__in__", *(F.col("__in__")[n].alias(n) for n in names), F.lit(True).alias("__keep__"))
+        again = left.select(*whole, F.struct(F.col(keep).alias(kept), *(c(n) for n in lnames)).alias(second), first)
+        again = again.select(*whole, second, first, *(F.col(first)[n].alias(n) for n in names), F.lit(True).alias(keep))
         right = self.link2.apply(again, inner)
         rnames = inner.visible(right)
-        keep1, keep2 = F.col("__left__.__k__"), F.col("__keep__")
+        keep1, keep2 = F.col(second)[kept], F.col(keep)
 
         def merged(n: str) -> Column:
-            parts = [F.when(keep1, F.col("__left__")[n])] if n in lnames else []
+            parts = [F.when(keep1, F.col(second)[n])] if n in lnames else []
             parts += [F.when(keep2, c(n))] if n in rnames else []
             return F.coalesce(*parts).alias(n)
 

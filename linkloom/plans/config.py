@@ -32,8 +32,8 @@ def save_dict(data: dict[str, Any], path: str = "Output.yaml") -> None:
     (save_as_yaml if _is_yaml(path) else save_as_json)(data, path)
 
 
-def save_chain(link: Configurable, path: str) -> None:
-    save_dict(link.get_params(), path)
+def save_chain(link: Configurable, path: str, defaults: bool = True, version: bool = True, log_level: bool = True) -> None:
+    save_dict(link.get_params(defaults, version, log_level), path)
 
 
 def load_yaml(path: str) -> dict[str, Any]:
@@ -51,4 +51,7 @@ def load_dict(path: str) -> dict[str, Any]:
 
 
 def load_chain(path: str) -> Link:
-    return Configurable.from_params(load_dict(path))
+    params = load_dict(path)
+    if not isinstance(params, dict) or "__class__" not in params:
+        raise ValueError(f"{path} describes no link: __class__ is missing")
+    return Configurable.from_params(params)

@@ -291,8 +291,13 @@ class Compiler:
     def _string(self, name: str, v: Value, n: ast.Call) -> Value:
         if v.kind != "str":
             raise ExpressionError(".str needs a string column")
-        args = [x.value for x in n.args if isinstance(x, ast.Constant)]
-        options = {k.arg: k.value.value for k in n.keywords if isinstance(k.value, ast.Constant)}
+        if not all(isinstance(x, ast.Constant) for x in (*n.args, *(k.value for k in n.keywords))):
+            raise ExpressionError(f".str.{name} takes literals only")
+        args = [x.value for x in n.args]
+        options = {k.arg: k.value.value for k in n.keywords}
+        least = {"contains": 1, "startswith": 1, "endswith": 1, "replace": 2}.get(name, 0)
+        if len(args) != least or not all(isinstance(x, str) for x in args):
+            raise ExpressionError(f".str.{name} takes {least} strings")
         if name == "contains":
             found = F.contains(v.col, F.lit(args[0])) if options.get("regex") is False else F.rlike(v.col, F.lit(args[0] if options.get("case", True) else f"(?i){args[0]}"))
             return Value(found, "bool")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ROW_ID, c
+from .base import ROW_ID, c, fresh, stable
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -17,33 +17,32 @@ def order_of(df: DataFrame, order_by: list[str]) -> list[Column]:
     return [c(n).asc_nulls_first() for n in order_by] if order_by else [F.col(ROW_ID)]
 
 
-def pieces(df: DataFrame, name: str, *, order_by: list[str], scope: list[str], size: int | None, number: int | None, buckets: int = 64) -> DataFrame:
+def pieces(df: DataFrame, name: str, *, order_by: list[str], scope: list[str], size: int | None, number: int | None) -> DataFrame:
     """df with the number of each row's contiguous piece, from 0.
 
     By size there are n // size + 1 pieces, by number as many; the first
-    n % pieces of them have one row more.  Rows are numbered in buckets of the
-    order's range, so no task sees them all; the bucket counts are what goes
-    to the driver."""
-    df = df if order_by else with_row_id(df)
-    order = order_of(df, order_by)
+    n % pieces of them have one row more.  Rows are dealt out by range over all
+    of the order, ties by row id, so a frequent value is no task of its own; the
+    sorted table is kept, and of its partitions only the counts go to the driver."""
+    df = with_row_id(df)
+    order = [*(order_of(df, order_by) if order_by else []), F.col(ROW_ID)]
     if scope:  # pieces of pieces: counted where they are
         within = Window.partitionBy(*scope)
         n, at = F.count("*").over(within), F.row_number().over(within.orderBy(*order)) - 1
         k = F.lit(number).cast("long") if number else F.floor(n / size) + 1
         return df.withColumn(name, _piece(at, n, k))
-    first = c(order_by[0]) if order_by else F.col(ROW_ID)
-    some = [r[0] for r in df.select(first.alias("x")).where("x is not null").distinct().orderBy(F.xxhash64("x")).limit(buckets - 1).collect()]
-    bucket = sum((F.coalesce(first >= F.lit(v), F.lit(False)).cast("int") for v in some), F.lit(0))
-    tmp = f"{name}bucket"
-    df = df.withColumn(tmp, bucket)
-    counts = {r[tmp]: r["count"] for r in df.groupBy(tmp).count().collect()}
-    n, before, start = sum(counts.values()), 0, []
-    for b in range(len(some) + 1):
+    (tmp,) = fresh(df, f"{name}at")
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *order).sortWithinPartitions(*order)
+    dealt = stable(dealt.withColumn(tmp, F.monotonically_increasing_id()))  # partition << 33 | place
+    part = F.shiftright(tmp, 33).cast("int")
+    counts = {r["p"]: r["count"] for r in dealt.groupBy(part.alias("p")).count().collect()}
+    before, start = 0, []
+    for p in range(max(counts, default=-1) + 1):
         start.append(before)
-        before += counts.get(b, 0)
-    at = F.array(*(F.lit(x).cast("long") for x in start))[F.col(tmp)] + F.row_number().over(Window.partitionBy(tmp).orderBy(*order)) - 1
-    k = number or n // size + 1
-    return df.withColumn(name, _piece(at, F.lit(n).cast("long"), F.lit(k).cast("long"))).drop(tmp)
+        before += counts.get(p, 0)
+    at = F.array(*(F.lit(x).cast("long") for x in start or [0]))[part] + F.col(tmp).bitwiseAND(F.lit((1 << 33) - 1))
+    k = number or before // size + 1
+    return dealt.withColumn(name, _piece(at, F.lit(before).cast("long"), F.lit(k).cast("long"))).drop(tmp)
 
 
 def _piece(at: Column, n: Column, k: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.plans.base import ROW_ID, Context, Link, c, is_no_table, register
+from linkloom.plans.base import ROW_ID, Context, Link, c, is_no_table, register, stable
 
 # Strings that read as missing.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -17,10 +17,18 @@ _TYPES = {"int": "long", "int64": "long", "int32": "int", "float": "double", "fl
 _SAME = {"encoding": "encoding", "quotechar": "quote", "escapechar": "escape", "comment": "comment"}
 
 
+def _dialect(options: dict[str, Any]) -> dict[str, str]:
+    return {"escape": str(options.get("quotechar", '"'))}
+
+
 def read_csv(spark: SparkSession, path: str, options: dict[str, Any]) -> DataFrame:
-    """sep, delimiter, header, names, usecols, dtype, nrows, na_values, encoding, quotechar, escapechar, comment, schema."""
+    """sep, delimiter, header, names, usecols, dtype, nrows, na_values, encoding, quotechar, escapechar, comment, schema, multiline.
+
+    A quote within quotes is doubled unless escapechar is given.  Quoted values
+    may hold line ends; with multiline=False they may not, and one file is read
+    by many tasks."""
     options = dict(options)
-    conf = {"header": "true", "sep": str(options.pop("sep", options.pop("delimiter", ","))), "nullValue": "", "multiLine": "false"}
+    conf = _dialect(options) | {"header": "true", "sep": str(options.pop("sep", options.pop("delimiter", ","))), "nullValue": "", "multiLine": str(bool(options.pop("multiline", True))).lower()}
     if options.pop("header", 0) is None:
         conf["header"] = "false"
     for name, spark_name in _SAME.items():
@@ -62,7 +70,8 @@ def _typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def write_csv(df: DataFrame, path: str, options: dict[str, Any]) -> None:
     """A folder of part files. sep, header, index, columns, na_rep, encoding, quotechar, escapechar, mode, single_file."""
     options = dict(options)
-    conf = {"sep": str(options.pop("sep", ",")), "header": str(bool(options.pop("header", True))).lower(), "nullValue": str(options.pop("na_rep", "")), "emptyValue": ""}
+    conf = _dialect(options) | {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    conf |= {"sep": str(options.pop("sep", ",")), "header": str(bool(options.pop("header", True))).lower(), "nullValue": str(options.pop("na_rep", "")), "emptyValue": ""}
     for name, spark_name in _SAME.items():
         if name in options and name != "comment":
             conf[spark_name] = options.pop(name)
@@ -106,6 +115,8 @@ class ToFile(Link):
     write_options: dict[str, Any] = field(default_factory=lambda: {"sep": ","})
 
     def compile(self, df: DataFrame, ctx: Context) -> DataFrame:
-        df = df.persist()  # read by the sink and by what follows
+        if ctx.dry:
+            return df
+        df = stable(df)  # read by the sink and by what follows
         write_csv(df.select(*(c(n) for n in ctx.visible(df))), self.filename, self.write_options)
         return df
