@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,11 @@ from pyspark.sql import functions as F
 from linkloom.operators.chem import ElementsInList, HeavyAtomCount, HeteroAtomRatio, LongestAliphaticChain, MolFromSmiles, MolToSmiles, NumberOfTokens, PandasAddMoleculeColumn, RDKitDescriptors, RemoveStereoMol, RemoveStereoSmiles, SuperParent
 from linkloom.operators.custom import LinearModelDf, LinearModelRow
 from linkloom.operators.errors import StripErrors, rows_with_errors
+from linkloom.operators.model import ScikitMolSmilesModel
 from linkloom.operators.partition import ParallelPartitionProcessor, SerialPartitionProcessor
 from linkloom.operators.table import DfEval, DropColumns, DropDuplicates, DropTable, KeepColumns, NullLink, Query, RenameColumns, RowEval
-from linkloom.plans.base import ERROR, Chain, Configurable, Link, UnionLink
+from linkloom.plans import config
+from linkloom.plans.base import ERROR, BatchLink, Chain, Configurable, Link, RowLink, RowLogger, UnionLink
 from linkloom.sources.files import FromFile, ToFile
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -214,11 +219,18 @@ query("pieces_dedup", "orders", _PIECES.format(piece="ntile(4) OVER (ORDER BY o_
 query("pieces_by_size", "orders", "WITH n AS (SELECT count(*) // 400 + 1 AS k, count(*) // (count(*) // 400 + 1) AS s, count(*) % (count(*) // 400 + 1) AS r FROM orders), p AS (SELECT o.*, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders o) " + f"SELECT {_ORDER_SQL} FROM (SELECT p.*, CASE WHEN i < r * (s + 1) THEN i // (s + 1) ELSE r + (i - r * (s + 1)) // s END AS piece FROM p, n) QUALIFY row_number() OVER (PARTITION BY piece, o_custkey ORDER BY o_orderkey) = 1", _ORDER)(lambda: ParallelPartitionProcessor(DropDuplicates(["o_custkey"], order_by=["o_orderkey"]), partition_size=400, order_by=["o_orderkey"]))
 
 
-def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the session says that all can read; a local one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="linkloom-csv-")
+    return f"{base.rstrip('/')}/linkloom-csv/{uuid.uuid4().hex}"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-csv-")
-    path = f"{base.rstrip('/')}/linkloom-csv/{uuid.uuid4().hex}"
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
     ToFile(path, {"sep": ";"})(table(spark, sf_dir, "nation"))
     return FromFile(path, {"sep": ";"})()
 
@@ -254,3 +266,240 @@ def _lipinski(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["lipinski_shape"] = _lipinski
 ORACLE_SQL["lipinski_shape"] = f'SELECT p_partkey, {_SMILES} AS "Smiles" FROM part WHERE {_PARSED} AND {_known(7, "INTEGER")} < 2'
+
+
+# -- files: quoting, missing values, errors, configurations, the command line
+
+
+def _quoted(df: DataFrame) -> DataFrame:
+    """Names with quotes, separators and line ends, blanks at their ends, and missing ones."""
+    text = """CASE n_nationkey % 6 WHEN 0 THEN concat('say "', n_name, '", ok') WHEN 1 THEN concat(n_name, chr(10), 'two') WHEN 2 THEN concat('"', n_name, '"') WHEN 3 THEN 'N/A' WHEN 4 THEN concat(' ', n_name, ' ;') ELSE n_name END"""
+    return df.select("n_nationkey", F.expr(text).alias("t"), F.expr("n_nationkey / 4.0D").alias("x"))
+
+
+_QUOTED_SQL = """SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'say "' || n_name || '", ok' WHEN 1 THEN n_name || chr(10) || 'two' WHEN 2 THEN '"' || n_name || '"' WHEN 3 THEN NULL WHEN 4 THEN ' ' || n_name || ' ;' ELSE n_name END AS t, n_nationkey / 4.0::DOUBLE AS x FROM nation"""
+
+
+def _csv_quotes(spark: SparkSession, sf_dir: str, sep: str = ",") -> DataFrame:
+    path = _folder(spark)
+    ToFile(path, {"sep": sep})(_quoted(table(spark, sf_dir, "nation")))
+    return FromFile(path, {"sep": sep, "dtype": {"n_nationkey": "int", "x": "float"}})()
+
+
+QUERIES["csv_quotes"] = _csv_quotes
+ORACLE_SQL["csv_quotes"] = f"SELECT n_nationkey::BIGINT AS n_nationkey, t, x FROM ({_QUOTED_SQL})"
+QUERIES["csv_quotes_semicolon"] = lambda spark, sf_dir: _csv_quotes(spark, sf_dir, ";")
+ORACLE_SQL["csv_quotes_semicolon"] = ORACLE_SQL["csv_quotes"]
+
+
+def _errors_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    (LinearModelRow(3, 1) + StripErrors(path))(_strings(table(spark, sf_dir, "events")))
+    return FromFile(path, {"dtype": {"event_id": "int", "x": "str"}, "usecols": ["event_id", "x"]})()
+
+
+QUERIES["errors_file"] = _errors_file
+ORACLE_SQL["errors_file"] = f"SELECT event_id::BIGINT AS event_id, x FROM (SELECT event_id, {_X} AS x FROM events) WHERE try_cast(x AS DOUBLE) IS NULL"
+
+
+def _config_file(kind: str) -> Run:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tempfile.TemporaryDirectory() as folder:  # the driver's own
+            path = f"{folder}/chain.{kind}"
+            config.save_chain(Chain(_FLAGSHIP), path, defaults=False, version=False, log_level=False)
+            return config.load_chain(path)(table(spark, sf_dir, "lineitem"))
+
+    return run
+
+
+for _suffix in ("yaml", "json"):
+    QUERIES[f"config_{_suffix}"], ORACLE_SQL[f"config_{_suffix}"] = _config_file(_suffix), _FLAGSHIP_SQL
+
+
+def _cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom import cli
+
+    base = _folder(spark)
+    _strings(table(spark, sf_dir, "events")).write.option("header", True).csv(f"{base}/in")
+    with tempfile.TemporaryDirectory() as folder:
+        config.save_chain(Chain([LinearModelRow(3, 1), Query("event_id < 5000 or event_id != event_id")]), f"{folder}/c.yaml")
+        cli.main(["run", f"{folder}/c.yaml", "--in_file", f"{base}/in", "--out_file", f"{base}/out", "--error_file", f"{base}/errors"])
+    kinds = {"event_id": "int", "x": "str", "y": "float"}
+    good = FromFile(f"{base}/out", {"dtype": kinds})().select("event_id", "x", "y", F.lit(False).alias("failed"))
+    return good.union(FromFile(f"{base}/errors", {"dtype": kinds | {"__error__": "str"}})().select("event_id", "x", "y", F.lit(True)))
+
+
+QUERIES["cli_run"] = _cli
+ORACLE_SQL["cli_run"] = f"SELECT event_id::BIGINT AS event_id, x, 3.0::DOUBLE * try_cast(x AS DOUBLE) + 1.0::DOUBLE AS y, try_cast(x AS DOUBLE) IS NULL AS failed FROM (SELECT event_id, {_X} AS x FROM events) WHERE event_id < 5000"
+
+# -- models, batches, logs, errors that add up
+
+
+class _Lengths:
+    """A model: lengths of strings; a batch with a string that is no molecule fails."""
+
+    def predict(self, xs: list) -> list[float]:
+        if "ImNotASmiles" in xs:
+            raise ValueError("no molecule")
+        return [float(len(x)) for x in xs]
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/model.pkl"
+        with open(path, "wb") as f:
+            pickle.dump(_Lengths(), f)
+        link = ScikitMolSmilesModel(f"file://{path}", allow_pickle=True)
+        out = link(molecules(table(spark, sf_dir, "part")))  # the file is read when the plan is made
+    return out.select("p_partkey", "skmol_prediction", F.col(ERROR).isNotNull().alias("failed"))
+
+
+QUERIES["model_predict"] = _model
+ORACLE_SQL["model_predict"] = f"SELECT p_partkey, CASE WHEN {_SMILES} <> 'ImNotASmiles' THEN length({_SMILES})::DOUBLE END AS skmol_prediction, {_SMILES} = 'ImNotASmiles' AS failed FROM part"
+
+
+@dataclass
+class _Share(BatchLink):
+    """A value's share of 100, over batches."""
+
+    in_column: str = "value"
+
+    def needs(self) -> list[str]:
+        return [self.in_column]
+
+    def output(self) -> str:
+        return "share double"
+
+    def batch_apply(self, columns: dict[str, list], log: RowLogger) -> dict[str, list]:
+        import numpy as np
+
+        return {"share": (np.array(columns[self.in_column], float) / 100).tolist()}
+
+
+@dataclass
+class _Halves(RowLink):
+    """Halves even numbers, and says so."""
+
+    in_column: str = "event_id"
+    logs = True
+
+    def needs(self) -> list[str]:
+        return [self.in_column]
+
+    def output(self) -> str:
+        return "half long"
+
+    def row_apply(self, row: dict, log: RowLogger) -> dict:
+        log.warning("seen")
+        log.debug("hidden")
+        if row[self.in_column] % 2:
+            raise ValueError("odd")
+        return {"half": row[self.in_column] // 2}
+
+
+query("batch_link", "events", "SELECT event_id, value, value / 100 AS share, CAST(NULL AS VARCHAR) AS __error__ FROM events", ["event_id", "value"])(lambda: _Share())
+query("row_log", "events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id // 2 END AS half, CASE WHEN event_id % 2 = 1 THEN 'ValueError: odd' END AS __error__, 'WARNING: seen' AS __log__ FROM events", ["event_id"])(lambda: _Halves())
+query(
+    "errors_add_up", "events",
+    f"SELECT event_id, x, 3.0::DOUBLE * try_cast(x AS DOUBLE) + 1.0::DOUBLE AS y, CASE WHEN try_cast(x AS DOUBLE) IS NULL THEN 'Error in x row data' || chr(10) || 'Error in y row data' END AS __error__, 3.0::DOUBLE * try_cast(x AS DOUBLE) + 1.0::DOUBLE AS z FROM (SELECT event_id, {_X} AS x FROM events)",
+    prepare=_strings,
+)(lambda: LinearModelDf(3, 1) + DfEval("y2 = y") + DropColumns(["y2"]) + LinearModelDf(1, 0, "y", "z"))
+QUERIES["partial_output"] = _flagged(Chain([LinearModelRow(2, 0, "event_id", "y"), LinearModelRow(3, 1, "x", "z"), LinearModelRow(1, 0, "event_id", "w")]), _strings, "events", ["event_id", "x", "y", "z", "w"])
+ORACLE_SQL["partial_output"] = f"SELECT event_id, x, 2.0::DOUBLE * event_id + 0.0::DOUBLE AS y, 3.0::DOUBLE * try_cast(x AS DOUBLE) + 1.0::DOUBLE AS z, CASE WHEN try_cast(x AS DOUBLE) IS NOT NULL THEN 1.0::DOUBLE * event_id + 0.0::DOUBLE END AS w, try_cast(x AS DOUBLE) IS NULL AS failed FROM (SELECT event_id, {_X} AS x FROM events)"
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("__row_id__"))
+
+
+query("query_index", "orders", "SELECT o_orderkey, o_custkey, o_orderkey AS __row_id__ FROM orders WHERE o_orderkey < 100 OR o_custkey = 7", prepare=_numbered)(lambda: Query("index < 100 or o_custkey == 7"))
+query("query_quoted_name", "orders", "SELECT o_orderkey, o_totalprice AS \"total price\" FROM orders WHERE o_totalprice > 1000.5", prepare=lambda df: df.select("o_orderkey", F.col("o_totalprice").alias("total price")))(lambda: Query("`total price` > 1000.5"))
+
+_CALLS = {
+    "sin(x)": "sin(x)", "cos(x)": "cos(x)", "exp(x)": "exp(x)", "expm1(x)": "exp(x) - 1", "sinh(x)": "sinh(x)", "cosh(x)": "cosh(x)", "tanh(x)": "tanh(x)", "arctan(x)": "atan(x)", "arcsinh(x)": "asinh(x)",
+    "log10(x)": "CASE WHEN x > 0 THEN log10(x) WHEN x = 0 THEN '-Infinity'::DOUBLE END", "log1p(x)": "CASE WHEN x > -1 THEN ln(1 + x) WHEN x = -1 THEN '-Infinity'::DOUBLE END", "arcsin(x)": "CASE WHEN abs(x) <= 1 THEN asin(x) END", "arccos(x)": "CASE WHEN abs(x) <= 1 THEN acos(x) END",
+    "arccosh(x)": "CASE WHEN x >= 1 THEN acosh(x) END", "arctanh(x)": "CASE WHEN abs(x) < 1 THEN atanh(x) WHEN abs(x) = 1 THEN sign(x) * 'Infinity'::DOUBLE END", "ceil(x) + 0": "ceil(x) + 0", "abs(x)": "abs(x)", "arctan2(x, 2)": "atan2(x, 2)",
+}
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("p_partkey", ((F.pmod("p_partkey", F.lit(25)) - 12) / 4).cast("double").alias("x"))
+    out = DfEval("\n".join(f"c{i} = {text}" for i, text in enumerate(_CALLS)))(df)
+    return out.select("p_partkey", "x", *(F.round(f"c{i}", 6).alias(f"c{i}") for i in range(len(_CALLS))))
+
+
+QUERIES["dfeval_calls"] = _calls
+ORACLE_SQL["dfeval_calls"] = "SELECT p_partkey, x, " + ", ".join(f"round({sql}, 6) AS c{i}" for i, sql in enumerate(_CALLS.values())) + " FROM (SELECT p_partkey, (p_partkey % 25 - 12) / 4.0::DOUBLE AS x FROM part)"
+
+
+def _toolbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.toolbox import toolbox
+
+    return toolbox().table(spark).where("module = 'linkloom.operators.table'").select("class")
+
+
+QUERIES["toolbox"] = _toolbox
+ORACLE_SQL["toolbox"] = "SELECT unnest(['DfEval', 'DropColumns', 'DropDuplicates', 'DropTable', 'KeepColumns', 'NullLink', 'Query', 'RenameColumns', 'RowEval']) AS class"
+
+# -- chemistry over 120 molecules: alkanes, alcohols, amines and alkylbenzenes of 1 to 30 carbons in the chain
+
+
+def series(df: DataFrame) -> DataFrame:
+    """p_partkey, Smiles, Turned: one molecule written from either end."""
+    n, kind = F.pmod("p_partkey", F.lit(30)).cast("int") + 1, F.pmod(F.floor(F.col("p_partkey") / 30), F.lit(4))
+    chain = F.repeat(F.lit("C"), n)
+    ends = [("", ""), ("O", "O"), ("N", "N"), ("c1ccccc1", "c1ccccc1")]
+    one = two = F.lit(None).cast("string")
+    for i, (head, tail) in enumerate(ends):
+        one = F.when(kind == i, F.concat(chain, F.lit(tail))).otherwise(one)
+        two = F.when(kind == i, F.concat(F.lit(head), chain)).otherwise(two)
+    return df.select("p_partkey", one.alias("Smiles"), two.alias("Turned"))
+
+
+_SERIES = """(SELECT p_partkey, n, kind, n + CASE kind WHEN 3 THEN 6 ELSE 0 END AS carbons, 2 * n + CASE kind WHEN 2 THEN 3 WHEN 3 THEN 6 ELSE 2 END AS hydrogens,
+  repeat('C', n) || CASE kind WHEN 0 THEN '' WHEN 1 THEN 'O' WHEN 2 THEN 'N' ELSE 'c1ccccc1' END AS "Smiles"
+  FROM (SELECT p_partkey, (p_partkey % 30 + 1)::INTEGER AS n, (p_partkey // 30) % 4 AS kind FROM part))"""
+# Atomic weights, and the published contributions of the atom types that occur.
+_WEIGHT = "carbons * 12.011::DOUBLE + hydrogens * 1.008::DOUBLE + CASE kind WHEN 1 THEN 15.999::DOUBLE WHEN 2 THEN 14.007::DOUBLE ELSE 0 END"
+_LOGP = """CASE kind WHEN 0 THEN n * 0.1441::DOUBLE + hydrogens * 0.123::DOUBLE
+  WHEN 1 THEN (n - 1) * 0.1441::DOUBLE - 0.2035 - 0.2893 + (hydrogens - 1) * 0.123::DOUBLE - 0.2677
+  WHEN 2 THEN (n - 1) * 0.1441::DOUBLE - 0.2035 - 1.019 + (hydrogens - 2) * 0.123::DOUBLE + 2 * 0.2142
+  ELSE 5 * 0.1581::DOUBLE + 0.136 + CASE n WHEN 1 THEN 0.08452 ELSE -0.0516 + (n - 1) * 0.1441::DOUBLE END + hydrogens * 0.123::DOUBLE END"""
+_POLAR = "(kind IN (1, 2))::INTEGER::DOUBLE"
+
+
+def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Chain([MolFromSmiles(), RDKitDescriptors()])(series(table(spark, sf_dir, "part")))
+    return out.select("p_partkey", "Smiles", F.round("MolWt", 3).alias("MolWt"), F.round("MolLogP", 4).alias("MolLogP"), "NumHAcceptors", "NumHDonors")
+
+
+QUERIES["mol_descriptors"] = _descriptors
+ORACLE_SQL["mol_descriptors"] = f'SELECT p_partkey, "Smiles", round({_WEIGHT}, 3) AS "MolWt", round({_LOGP}, 4) AS "MolLogP", {_POLAR} AS "NumHAcceptors", {_POLAR} AS "NumHDonors" FROM {_SERIES}'
+
+
+def _series_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = Chain([MolFromSmiles(), HeavyAtomCount(), LongestAliphaticChain(), RDKitDescriptors(descriptors=["RingCount", "NumHeteroatoms"])])
+    return chain(series(table(spark, sf_dir, "part"))).select("p_partkey", "HeavyAtomCount", "LongestAliphaticChain", "RingCount", "NumHeteroatoms")
+
+
+QUERIES["mol_series_counts"] = _series_counts
+_CHAIN = "CASE kind WHEN 0 THEN greatest(n - 2, 0) ELSE n - 1 END"
+ORACLE_SQL["mol_series_counts"] = f'SELECT p_partkey, (carbons + (kind IN (1, 2))::INTEGER)::INTEGER AS "HeavyAtomCount", (CASE WHEN {_CHAIN} < 11 THEN {_CHAIN} ELSE 0 END)::INTEGER AS "LongestAliphaticChain", (kind = 3)::INTEGER::DOUBLE AS "RingCount", {_POLAR} AS "NumHeteroatoms" FROM {_SERIES}'
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = Chain([MolFromSmiles("Smiles", "m1"), MolFromSmiles("Turned", "m2"), MolToSmiles("m1", "c1", canonical=True), MolToSmiles("m2", "c2", canonical=True)])
+    return chain(series(table(spark, sf_dir, "part"))).select("p_partkey", (F.col("c1") == F.col("c2")).alias("same"), F.length("c1").cast("long").alias("n"))
+
+
+QUERIES["mol_canonical"] = _canonical
+ORACLE_SQL["mol_canonical"] = f'SELECT p_partkey, true AS same, length("Smiles")::BIGINT AS n FROM {_SERIES}'
+
+
+def _lipinski_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = Chain([MolFromSmiles(), RDKitDescriptors(), Query("MolWt < 500 and MolLogP < 5 and NumHAcceptors < 10 and NumHDonors < 5"), KeepColumns(["p_partkey", "Smiles"])])
+    return chain(series(table(spark, sf_dir, "part")))
+
+
+QUERIES["lipinski"] = _lipinski_rules
+ORACLE_SQL["lipinski"] = f'SELECT p_partkey, "Smiles" FROM {_SERIES} WHERE {_WEIGHT} < 500 AND {_LOGP} < 5'

@@ -91,3 +91,10 @@ def test_rejected(both):
             DfEval(text)(df) if text == "i" else DfEval(text, "o")(df)
     with pytest.raises(ExpressionError):
         RowEval("s + 'x'", "o")(df)
+
+
+def test_string_arguments_are_literals(spark):
+    df = spark.createDataFrame([("a", "b")], "s string, t string")
+    for text in ("s.str.contains(t)", "s.str.contains()", "s.str.startswith(1)", "s.str.contains('a', case=t)"):
+        with pytest.raises(ExpressionError):
+            Query(text)(df)

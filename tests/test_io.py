@@ -94,3 +94,35 @@ def test_cli(spark, csv, tmp_path):
 def test_chunks_of_parts(spark, tmp_path):
     L.ToFile(str(tmp_path / "one"), {"single_file": True})(spark.range(5).repartition(3))
     assert len(glob.glob(str(tmp_path / "one" / "part-*"))) == 1
+
+
+def test_quotes_and_line_ends(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a,b\n1,"say ""hi"", ok"\n2,"two\nlines"\n3," blank "\n')
+    rows = [tuple(r) for r in L.FromFile(str(p))().orderBy("a").collect()]
+    assert rows == [(1, 'say "hi", ok'), (2, "two\nlines"), (3, " blank ")]
+    out = str(tmp_path / "out")
+    L.ToFile(out)(L.FromFile(str(p))()).count()
+    assert [tuple(r) for r in L.FromFile(out)().orderBy("a").collect()] == rows
+    assert L.FromFile(str(p), {"multiline": False})().count() == 4
+    (tmp_path / "e.csv").write_text("a|b\n1|'x\\'y'\n")
+    assert L.FromFile(str(tmp_path / "e.csv"), {"sep": "|", "quotechar": "'", "escapechar": "\\"})().first().b == "x'y"
+
+
+def test_schema_writes_nothing(spark, csv, tmp_path):
+    out, errors = str(tmp_path / "out"), str(tmp_path / "errors")
+    chain = L.FromFile(csv) + L.LinearModelRow(2, 0, "x") + L.StripErrors(errors) + L.ToFile(out)
+    result = chain(spark.range(1))
+    written = {f: len(L.FromFile(f)().collect()) for f in (out, errors)}
+    assert written == {out: 1, errors: 2}
+    assert chain.output_schema(spark.range(1).schema, spark) == result.schema
+    assert {f: len(L.FromFile(f)().collect()) for f in (out, errors)} == written
+
+
+def test_chain_files(tmp_path):
+    path = str(tmp_path / "c.yaml")
+    config.save_chain(L.NullLink("x") + L.Query("a > 1"), path, defaults=False, version=False, log_level=False)
+    assert yaml.safe_load(open(path)) == {"__class__": "Chain", "links": [{"__class__": "NullLink", "name": "x"}, {"__class__": "Query", "query": "a > 1"}]}
+    config.save_dict({"links": []}, path)
+    with pytest.raises(ValueError):
+        config.load_chain(path)

@@ -127,7 +127,7 @@ def test_values(spark, sample):
     with pytest.raises(AssertionError):
         L.LinearModelRow(1, 2, "none")(sample)
     with pytest.raises(ImportError):
-        L.RDKitDescriptors()(sample)
+        L.RDKitDescriptors(descriptors=["TPSA"])(sample)
 
 
 def test_union(spark, sample):
@@ -246,4 +246,77 @@ class _FakeModel:
         return (eval, ("type('M', (), {'predict': lambda self, xs: [float(len(x)) for x in xs]})()",))
 
 
+def test_batches_fall_back_to_rows(spark):
+    @dataclasses.dataclass
+    class Inverse(L.BatchLink):
+        """One over x; batches with a zero fail."""
+
+        def needs(self):
+            return ["x"]
+
+        def output(self):
+            return "inverse double"
+
+        def batch_apply(self, columns, log):
+            return {"inverse": [1 / x for x in columns["x"]]}
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "id long, x double").coalesce(1)
+    rows = (L.LinearModelRow(1, 0, "x") + Inverse())(df).orderBy("id").collect()
+    assert [r.inverse for r in rows] == [None, 1.0, 0.5, 1 / 3, 0.25]
+    assert rows[0][ERROR].startswith("ZeroDivisionError") and not any(r[ERROR] for r in rows[1:])
+
+
+def test_own_columns_with_working_names(spark):
+    names = ["__kernel__", "__place__", "__failed__", "__in__", "__left__", "__keep__", "__piece0__at"]
+    df = spark.createDataFrame([("C", 1, 1.0, *names)], "Smiles string, k long, x double, " + ", ".join(f"`{n}` string" for n in names))
+    for link in (L.MolFromSmiles(), L.DropDuplicates(["k"]), L.LinearModelDf(1, 0), L.UnionLink(L.Query("k > 0"), L.DropDuplicates(["k"])), L.SerialPartitionProcessor(L.DropDuplicates(["k"]), num_partitions=2)):
+        row = link(df).first()
+        assert [row[n] for n in names] == names, type(link).__name__
+
+
+def test_pieces_with_one_frequent_value(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = L.SerialPartitionProcessor(L.DropDuplicates(["k"], order_by=["id"]), num_partitions=10, order_by=["k", "id"])(df)
+    assert sorted(r.id for r in out.collect()) == [*range(0, 900, 100), *range(900, 1000)]
+
+
+def test_descriptors_of_known_molecules(spark):
+    known = {"CC(=O)Oc1ccccc1C(=O)O": (180.159, 1.3101), "Cn1cnc2c1c(=O)n(C)c(=O)n2C": (194.194, -1.0293), "CC(=O)Nc1ccc(O)cc1": (151.165, 1.3506), "CC(C)Cc1ccc(cc1)C(C)C(=O)O": (206.285, 3.0732), "c1ccc2ccccc2c1": (128.174, 2.8398), "O": (18.015, -0.8247)}
+    df = spark.createDataFrame([(s,) for s in known], "Smiles string")
+    for r in (L.MolFromSmiles() + L.RDKitDescriptors())(df).collect():
+        assert abs(r.MolWt - known[r.Smiles][0]) < 0.01 and abs(r.MolLogP - known[r.Smiles][1]) < 1e-4
+
+
+def test_canonical_strings_and_matchings():
+    import itertools
+    import random
+
+    from linkloom.functions import smiles as S
+
+    rng = random.Random(1)
+    for text in ["CC(=O)Oc1ccccc1C(=O)O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "c1ccc2ccccc2c1", "[Na+].CC(=O)[O-]", "C1CC2CC1CC2", "C12C3C4C1C5C2C3C45", "FC(F)(F)c1ccc(Cl)cc1", "C" * 3000]:
+        mol = S.parse(text)
+        one = S.canonical(mol) if len(text) < 100 else S.write(mol)
+        assert len(S.parse(one)["atoms"]) == len(mol["atoms"])
+        for _ in range(10 if len(text) < 100 else 0):
+            p = rng.sample(range(len(mol["atoms"])), len(mol["atoms"]))
+            to = {v: i for i, v in enumerate(p)}
+            bonds = [{**b, "a": to[b["a"]], "b": to[b["b"]]} for b in rng.sample(mol["bonds"], len(mol["bonds"]))]
+            assert S.canonical({"atoms": [mol["atoms"][v] for v in p], "bonds": bonds}) == one
+    with pytest.raises(S.SmilesError):
+        S.parse("c1cccc1")
+
+    def brute(left, edges):
+        return not left or any(w in left and brute(left - {left_first, w}, edges) for left_first in [min(left)] for w in edges[left_first])
+
+    for _ in range(400):
+        n = rng.randint(0, 9)
+        edges = {i: [] for i in range(n)}
+        for a, b in itertools.combinations(range(n), 2):
+            if rng.random() < 0.35:
+                edges[a].append(b)
+                edges[b].append(a)
+        assert S._matched(edges) == brute(frozenset(range(n)), edges)
+
+
 del Doubler
