@@ -14,8 +14,8 @@ splits where one payload is frequent.
 
 Defined results: null html is an empty payload; a null page_id never is the
 response where the group has another; repeated rows of the smallest page_id
-are all responses; an empty table gives no archive.  Archives with too few
-records to train a dictionary have no such frame.
+are all responses; an empty table gives no archive.  Where Zstandard can't train
+on an archive's records (too few, or too alike) its dictionary is their content.
 """
 
 from __future__ import annotations
@@ -76,29 +76,28 @@ def parse(data: bytes) -> tuple:
     return page("warc-record-id"), head["warc-target-uri"], size, digest, head["warc-type"], page("warc-refers-to"), payload if head["warc-type"] == "response" else None
 
 
-def train(records: list[bytes], dict_bytes: int, sample_bytes: int) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread evenly over an archive."""
-    total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
-    sample = [r[:32768] for r in records[::step]]
-    if len(sample) < 16 or sum(map(len, sample)) < 8 * 1024:
-        return None
+def train(records: list[bytes], dict_bytes: int, sample_bytes: int) -> zstandard.ZstdCompressionDict:
+    """A dictionary from pieces spread evenly over an archive and its records."""
+    total, piece = sum(map(len, records)), 8192
+    step = max(1, min(-(-total // sample_bytes), len(records) // 128))
+    room = max(1, sample_bytes // (piece * -(-len(records) // step)))  # pieces of a record
+    sample = []
+    for r in records[::step]:
+        n = min(room, -(-len(r) // piece))
+        sample += [r[at : at + piece] for at in (len(r) * i // n for i in range(n))]
+    size = sum(map(len, sample))
     try:
-        return zstandard.train_dictionary(min(dict_bytes, sum(map(len, sample)) // 8), sample, k=256, d=8)
+        return zstandard.train_dictionary(min(dict_bytes, max(256, size // 8)), sample, k=256, d=8)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(x[: max(256, dict_bytes // len(sample))] for x in sample)[:dict_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], dict_bytes: int = 65536, sample_bytes: int = 1 << 21, level: int = 3) -> bytes:
     words = train(records, dict_bytes, sample_bytes)
-    out = []
-    if words is not None:
-        packed = zstandard.ZstdCompressor(level=level).compress(words.as_bytes())
-        out.append(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
-        words.precompute_compress(level=level)
-    zc = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=True) if words is not None else zstandard.ZstdCompressor(level=level, write_checksum=True)
-    out += map(zc.compress, records)
-    return b"".join(out)
+    packed = zstandard.ZstdCompressor(level=level).compress(words.as_bytes())
+    words.precompute_compress(level=level)
+    zc = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=True)
+    return b"".join([struct.pack("<II", DICT_FRAME, len(packed)) + packed, *map(zc.compress, records)])
 
 
 def records_of(content: bytes, step: int = 65536) -> Iterator[bytes]:

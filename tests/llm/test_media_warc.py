@@ -86,7 +86,9 @@ def test_archive_format():
     assert list(warc.records_of(content, step=100)) == records
     first = zstandard.ZstdDecompressor(dict_data=words_dict).decompressobj().decompress(content[8 + size :])
     assert first == records[0]  # each record is a frame of its own
-    assert list(warc.records_of(warc.archive(records[:3]))) == records[:3]  # too few for a dictionary
+    for some in (records[:1], records[:3], [b"x" * 50_000] * 40, [r * 100 for r in records[:20]]):  # too few or too alike to train on; long
+        packed = warc.archive(some)
+        assert struct.unpack_from("<I", packed)[0] == warc.DICT_FRAME and list(warc.records_of(packed)) == some
     with pytest.raises(ValueError):
         list(warc.records_of(content[:-5]))
 
