@@ -78,8 +78,10 @@ def pack_block(sizes: list[int], capacity: int) -> tuple[list[int], int]:
         k += 1
 
 
-def _pack_rows(rows: Iterable[tuple[int, bytes]], capacity: int, unit: int, block: int, first: int) -> Iterator[list[tuple]]:
-    """rows: (doc_id, ids as bytes). Yields lists of piece rows."""
+def _pack_rows(rows: Iterable[tuple[int, bytes, bool]], capacity: int, unit: int, block: int, first: int) -> Iterator[list[tuple]]:
+    """rows: (doc_id, ids as bytes, whether they end the document). Yields lists of piece rows.
+
+    Of a document only the ids that do not fill a window yet are held."""
     sequence = first
     waiting: list[tuple[int, int, int, int, int]] = []
 
@@ -94,18 +96,25 @@ def _pack_rows(rows: Iterable[tuple[int, bytes]], capacity: int, unit: int, bloc
         waiting.clear()
         return out
 
-    for doc, ids in rows:
-        total, at, out = len(ids) // 4, 0, []
-        while total - at >= capacity:
-            out.append((doc, at, capacity, zlib.crc32(ids[4 * at : 4 * (at + capacity)]), total, sequence, 0))
-            sequence += 1
+    held, at, full = b"", 0, []
+    for doc, ids, ended in rows:
+        held = held + ids if held else ids
+        place = 0
+        while len(held) - place >= 4 * capacity:
+            full.append((at, zlib.crc32(held[place : place + 4 * capacity])))
             at += capacity
-        while at < total:
-            n = min(unit, total - at)
-            waiting.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total))
-            at += n
-        if out:
-            yield out
+            place += 4 * capacity
+        held = held[place:]
+        if not ended:
+            continue
+        total = at + len(held) // 4
+        if full:
+            yield [(doc, start, capacity, crc, total, sequence + i, 0) for i, (start, crc) in enumerate(full)]
+            sequence += len(full)
+        for i in range(0, len(held), 4 * unit):
+            part = held[i : i + 4 * unit]
+            waiting.append((doc, at + i // 4, len(part) // 4, zlib.crc32(part), total))
+        held, at, full = b"", 0, []
         if len(waiting) >= block:
             yield flush()
     if waiting:
@@ -126,8 +135,12 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
 
         def rows():
             for b in batches:
-                keys = b.column(0).to_pylist()
-                yield from zip(keys, (ids + end for ids in enc.encode(b.column(1).to_pylist())))
+                keys = iter(b.column(0).to_pylist())
+                key = next(keys, None)
+                for ids, ended in enc.pieces(x.as_py() for x in b.column(1)):
+                    yield key, ids + end if ended else ids, ended
+                    if ended:
+                        key = next(keys, None)
 
         names = [x.split()[0] for x in PIECES.split(", ")]
         schema = pa.schema([(n, pa.int64()) for n in names])
