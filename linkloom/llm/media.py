@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import fresh
+
 # Magic bytes, where they stand from the start of an item, and the format.
 MAGIC = [
     (b"\x89PNG\r\n\x1a\n", 0, "png"),
@@ -256,7 +258,9 @@ def samples_of(item: bytes, kind: str) -> bytes:
 
 
 def inspect(df: DataFrame, content_col: str, declared_col: str | None = None, carve: bool = False) -> DataFrame:
-    """df with `media`: struct<type, declared_ok, items: array<struct<start, length, kind[, bytes]>>>."""
+    """df with `media`: struct<type, declared_ok, items: array<struct<start, length, kind[, bytes]>>>.
+
+    An own column of that name stays; the result then gets an underscore before it."""
     name = content_col
     item = "struct<start:long,length:long,kind:string" + (",bytes:binary>" if carve else ">")
     out = f"struct<type:string,declared_ok:boolean,items:array<{item}>>"
@@ -275,7 +279,8 @@ def inspect(df: DataFrame, content_col: str, declared_col: str | None = None, ca
             rows.append({"type": kind, "declared_ok": None if said is None else said == kind, "items": [x._asdict() | ({"bytes": blob[x.start : x.start + x.length]} if carve else {}) for x in found]})
         return pa.array(rows, arrow)
 
-    return df.withColumn("media", media(F.col(name).cast("binary"), F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")))
+    (made,) = fresh(df, "media")
+    return df.withColumn(made, media(F.col(name).cast("binary"), F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")))
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
