@@ -92,17 +92,39 @@ def test_toxicity_edges(spark):
 
 
 def brute_dice(text: str, threshold: float = 0.8):
-    found = set()
+    found, matched = set(), set()
     units = {*text.split("\n"), text, *(p for p in re.split(r"\n\n+", text) if "\n" in p)}
+    dice = lambda b, s: 2.0 * len(b & s) / (len(b) + len(s))
     for u in units:
         b = set(licenses.bigrams_of(u))
-        for name, t in licenses.TEMPLATES:
+        for i, (name, t) in enumerate(licenses.TEMPLATES):
             s = set(licenses.bigrams_of(t))
-            if b and (dice := 2.0 * len(b & s) / (len(b) + len(s))) >= threshold:
-                found.add((dice, name))
+            if b and dice(b, s) >= threshold:
+                found.add((dice(b, s), name))
+                matched.add(i)
+    words = licenses.words_of(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for i, (name, t) in enumerate(licenses.TEMPLATES):
+        s, n = set(licenses.bigrams_of(t)), len(licenses.words_of(t))
+        best = max((dice(set(pairs[k : k + n - 1]), s) for k in range(len(pairs)) if pairs[k] in s), default=0)
+        if i not in matched and best >= threshold:
+            found.add((best, name))
     return found
 
 
+def test_notices_amid_other_words(spark):
+    texts = [
+        "Some prose here.\nThis is free and unencumbered software\nreleased into the public domain.\nMore prose follows it at length.",
+        "Copyright 2020 X. Licensed under the Apache License, Version 2.0. See file for details of use.",
+        "This project is released under the MIT License; see the file LICENSE for details.",
+        "A licence to fish, all rights are waived here; released films under review.",
+    ]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, licenses int")
+    rows = licenses.scan(df).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == [0, 1, 2, 3]  # an own column stays
+    assert [{x.name for x in r["_licenses"]} for r in rows] == [{"Unlicense"}, {"Apache-2.0"}, {"MIT"}, set()]
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     texts: list = [None, "", "license", "All rights reserved.", "ALL  RIGHTS\tRESERVED!", "the of " * 20_000, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\n\nprose", "rights reserved all rights reserved"]
@@ -116,7 +138,7 @@ def test_licenses(spark):
         rng.shuffle(lines)
         texts.append(rng.choice(["\n", "\n\n"]).join(lines))
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
-    got = {r.doc_id: {(x.dice, x.name) for x in r.licenses} for r in licenses.scan(df).collect()}
+    got = {r.doc_id: {(x.dice, x.name) for x in r["_licenses"]} for r in licenses.scan(df).collect()}
     assert got == {i: brute_dice(t or "") for i, t in enumerate(texts)}
     con = duckdb.connect()
     con.register("documents", df.select("doc_id", "text").toPandas())
