@@ -74,9 +74,10 @@ def test_repeated_queries_and_small_cells(spark):
     assert len(set(got[0])) == 20 and 0 not in got[0]
 
 
-def test_recall(spark):
-    source = queries.table(spark, "/root/testdata/sf0.01", "embeddings")
-    found = ann.search(source, source.where(F.col("vec_id") % 20 == 0), cells=12)
+@pytest.mark.parametrize(("sf", "options", "least"), [("sf0.01", {"cells": 12}, 0.93), ("sf0.1", {}, 0.95)])
+def test_recall(spark, sf, options, least):
+    source = queries.table(spark, f"/root/testdata/{sf}", "embeddings")
+    found = ann.search(source, source.where(F.col("vec_id") % 20 == 0), **options)
     got = {}
     for r in found.collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
@@ -88,4 +89,4 @@ def test_recall(spark):
         s[ids == q] = -np.inf
         best = set(ids[np.argsort(-s)[:20]].tolist())
         hits, total = hits + len(best & near), total + len(best)
-    assert total == 20 * len(got) and hits / total > 0.93
+    assert total == 20 * len(got) and hits / total > least

@@ -190,6 +190,49 @@ def test_long_documents_come_in_pieces(spark, monkeypatch):
     assert not family.finish()[0][0].size
 
 
+def test_a_long_text_and_many_families(spark, monkeypatch):
+    """A text of several pieces through Spark, and families closed early."""
+    rng = random.Random(6)
+    words = ["the", "tion", "er", "and", "ou", "é"]
+    long = "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(420_000))
+    texts = dict(enumerate([long[900_000:900_400], long[:300], long + long[5:105], "x" + long[700_000:700_150]]))
+    seen, want = {}, {}
+    data = {i: t.encode() for i, t in texts.items()}
+    for i in texts:  # brute force by window digests: the texts are long
+        gone = np.zeros(len(data[i]), bool)
+        for s in range(len(data[i]) - 99):
+            w = data[i][s : s + 100]
+            if w in seen:
+                gone[s : s + 100] = True
+            else:
+                seen[w] = True
+        want[i] = (len(gone), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), bytes(np.frombuffer(data[i], np.uint8)[~gone]))
+    got = {r.doc: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(frame(spark, texts), form="bytes").collect()}
+    assert len(data[2]) > suffixes.CHUNK and got == want
+
+    import pyarrow as pa
+
+    some = passages(11)
+    monkeypatch.setattr(suffixes, "BATCH", 40)
+    monkeypatch.setattr(suffixes, "ROOM", 100)
+    monkeypatch.setattr(suffixes, "CHUNK", 2000)
+    family, closed = suffixes.Family(), 0
+    batch = pa.RecordBatch.from_arrays([pa.array(list(some)), pa.array(list(some.values()))], names=["doc", "text"])
+    for buf, row, ids, offs in suffixes._chunks(iter([batch]), 100):
+        anchor, entry, lo, hi = suffixes.stretches(buf, row, 100, 48)
+        family.add(entry, ids[row[lo]], lo << 12, anchor)
+        assert all((level[0][1:] > level[0][:-1]).all() for level in family.levels)  # alphabetical, none twice
+        if len(family) >= suffixes.ROOM:
+            closed += sum(1 for _ in suffixes._passed_on(family, 48)) > 0
+            family = suffixes.Family()
+    assert closed > 3
+
+
+def test_longest_common_prefixes():
+    a, b = np.array([b"abcd\1", b"abXd\1", b"\0\0\0\0\1"]), np.array([b"abcd\1", b"abcd\1", b"\0\0\1\0\1"])
+    assert suffixes.lcp(a, b).tolist() == [5, 2, 2]
+
+
 def test_repeat_edges(spark):
     df = frame(spark, {0: "a"})
     assert suffixes.digest(df.limit(0)).count() == 0

@@ -57,6 +57,26 @@ def test_memory_is_a_window(library):
     assert t.run.peak <= 1024 + 2 * merges.lookahead
 
 
+def test_memory_of_a_long_text(library):
+    """Beyond the text itself, encoding it holds a chunk's worth."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = [rng.choice(["the", "of", "blethe", "thtion", "12,", "é", "a\n\nb"]) + str(rng.randint(0, 200)) for _ in range(3000)]
+    text = " ".join(words) + " "
+    enc = bpe.Encoder(bpe.load(PATH), chunk=1 << 15)
+    peaks = []
+    for times in (40, 160):
+        long = text * times
+        tracemalloc.start()
+        n = sum(len(ids) // 4 for ids, _ in enc.pieces([long]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if times == 40:
+            assert n == len(library.encode(long, add_special_tokens=False).ids)
+    assert len(text) * 160 > 3_000_000 and peaks[1] < 1.2 * peaks[0] + 100_000 and peaks[1] < 3_000_000
+
+
 def test_invalid_bytes_decode(library):
     merges = bpe.load(PATH)
     for data in (b"\xe2\x82", b"a\xffb", b"\xf0\x9f\x98", b"\xc3\x28", b"\xed\xa0\x80"):
