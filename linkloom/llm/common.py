@@ -11,7 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: while a table is written: shuffles go with their job, and what goes to Python at once is small
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _tracked: ContextVar[list[str] | None] = ContextVar("tracked", default=None)
 
 
@@ -65,12 +66,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     behind the table are deleted with the job's end."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(_CLEAN, "false")
+    before = {k: spark.conf.get(k, None) for k in _WHILE}
     try:
-        spark.conf.set(_CLEAN, "true")
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -53,10 +53,10 @@ _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _POS = _U((1 << 24) - 1)
-CHUNK = 1 << 20
-BATCH = 60_000  # entries of a batch's suffix array
-ROOM = 300_000  # entries of a family
-WINDOWS = 1 << 20  # windows of a batch
+CHUNK = 1 << 18
+BATCH = 40_000  # entries of a batch's suffix array
+ROOM = 200_000  # entries of a family
+WINDOWS = 1 << 18  # windows of a batch
 # kinds of rows
 LONE, SEVERAL, REPEAT, BORDER = 0, 1, 2, 3
 _NOTE = np.int64(-1 << 63)  # sorts before every print
@@ -95,12 +95,14 @@ def entries(buf: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, spa
     return out.view(f"S{width}").ravel()
 
 
-def lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def lcp(a: np.ndarray, b: np.ndarray, step: int = 8192) -> np.ndarray:
     """Length of the longest common prefix, entry by entry."""
-    size = a.dtype.itemsize
-    x, y = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, size) for v in (a, b))
-    differ = x != y
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), size) if len(x) else np.zeros(0, np.int64)
+    size, out = a.dtype.itemsize, np.zeros(len(a), np.int64)
+    for i in range(0, len(a), step):
+        x, y = (np.ascontiguousarray(v[i : i + step]).view(np.uint8).reshape(-1, size) for v in (a, b))
+        differ = x != y
+        out[i : i + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+    return out
 
 
 def stretches(buf: np.ndarray, doc: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
@@ -243,7 +245,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[np.n
 ROWS = "key long, p long, q long, doc long, at long"
 
 
-def _rows(columns: list[np.ndarray], names: list[str], step: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _rows(columns: list[np.ndarray], names: list[str], step: int = 50_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(columns[0]), step):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], names=names)
 
@@ -268,8 +270,8 @@ def _passed_on(family: Family, k: int) -> Iterator[pa.RecordBatch]:
     sign = np.full(len(notes), _NOTE)
     yield from _rows([notes, sign, sign, np.zeros(len(notes), np.int64), np.full(len(notes), SEVERAL, np.int64)], names)
     lone = np.flatnonzero(~several)
-    for i in range(0, len(lone), 100_000):
-        own = lone[i : i + 100_000]
+    for i in range(0, len(lone), 20_000):
+        own = lone[i : i + 20_000]
         p, q = prints(entry[own].view(np.uint8).reshape(len(own), -1))
         yield from _rows([anchor[own].view(np.int64), p, q, doc[own], at[own] | LONE], names)
 
