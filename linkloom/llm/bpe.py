@@ -28,11 +28,13 @@ the tokenizers library does by default.
 from __future__ import annotations
 
 import codecs
+import gc
 import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import batched
+from operator import add
 
 import numpy as np
 import regex
@@ -143,9 +145,12 @@ class MergeList:
 
     def merge(self, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each window by itself: ids end to end, and how many each has."""
-        lens = np.fromiter(map(len, windows), np.int64, len(windows))
-        sym = self.base[np.frombuffer(b"".join(windows), np.uint8)]
-        word = np.repeat(np.arange(len(windows)), lens)
+        return self.merge_buffer(b"".join(windows), np.fromiter(map(len, windows), np.int64, len(windows)))
+
+    def merge_buffer(self, data: bytes, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of windows that lie end to end."""
+        sym = self.base[np.frombuffer(data, np.uint8)]
+        word = np.repeat(np.arange(len(lens)), lens)
         done_sym, done_word = [], []
         while len(sym):
             rank = np.full(len(sym), _BIG, np.uint64)
@@ -164,9 +169,9 @@ class MergeList:
             going[at + 1] = False
             sym, word = sym[going], word[going]
         if not done_sym:
-            return np.zeros(0, "<u4"), np.zeros(len(windows), np.int64)
+            return np.zeros(0, "<u4"), np.zeros(len(lens), np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        return sym[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(windows))
+        return sym[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(lens))
 
 
 class _Run:
@@ -249,6 +254,11 @@ class _Open:
             self.kind = None
 
 
+def _sliced(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Words:
     """Tokens of units, remembered by unit; transducers share it.
 
@@ -257,6 +267,8 @@ class Words:
 
     def __init__(self, merges: MergeList, limit: int = 600_000, room: int = 1 << 26):
         self.merges, self.limit, self.room = merges, limit, room
+        # marks that are pretokens by themselves after a letter, with their ids
+        self.stops = {c: merges.merge([c.encode()])[0].tobytes() for c in ".,;:!?)"}
         self.clear()
 
     def clear(self) -> None:
@@ -269,39 +281,47 @@ class Words:
         """Looks all of these up, so that their tokens are here."""
         if len(self.first) + len(self.later) + len(self.odd) > self.limit or self.size > self.room:
             self.clear()
-        words, mixed, inner, marks = [], [], [], self.merges.marks
-        whole: list[tuple[dict, list[str]]] = []
+        marks, mixed, inner = self.merges.marks, [], []
         for memo, units, lead in ((self.first, first, ""), (self.later, later, " ")):
-            letters = []
+            letters, ended = [], []
             for u in units.difference(memo):
                 if u.isalpha():
                     letters.append(u)
+                elif u[-1:] in self.stops and u[:-1].isalpha():
+                    ended.append(u)
                 elif not u or u[0].isspace() or u[-1].isspace() or (marks and marks.search(u)):
                     memo[u] = None  # not between sure cuts
                 else:
                     mixed.append((memo, u))
                     inner.append(PRETOKEN.findall(lead + u))
-            whole.append((memo, letters))
-            words += [lead + u for u in letters]
+            bases = [u[:-1] for u in ended]  # letters and one mark: two pretokens
+            letters += set(bases).difference(memo).difference(letters)
+            if letters:
+                memo.update(zip(letters, self._words(letters, lead)))
+            memo.update(zip(ended, map(add, map(memo.__getitem__, bases), [self.stops[u[-1]] for u in ended])))
+            self.size += sum(map(len, letters)) + sum(map(len, ended))
         for u in odd.difference(self.odd):
             mixed.append((self.odd, u))
             inner.append(self._parts(u))
         parts = list({w for ws in inner for w in ws})
-        if not words and not parts:
+        if not parts:
             return
         special = self.merges.special
-        plain = words + [w for w in parts if w not in special]
+        plain = [w for w in parts if w not in special]
         ids, counts = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in plain])
-        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
-        found = [data[a:b] for a, b in zip([0, *ends], ends)]
-        at = 0
-        for memo, letters in whole:
-            memo.update(zip(letters, found[at : at + len(letters)]))
-            at += len(letters)
-        get = (dict(zip(plain[at:], found[at:])) | {w: np.array([i], "<u4").tobytes() for w, i in special.items()}).__getitem__
+        get = (dict(zip(plain, _sliced(ids, counts))) | {w: np.array([i], "<u4").tobytes() for w, i in special.items()}).__getitem__
         for (memo, u), ws in zip(mixed, inner):
             memo[u] = b"".join(map(get, ws))
-        self.size += sum(map(len, words)) + sum(len(u) for _, u in mixed)
+            self.size += len(u)
+
+    def _words(self, letters: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters, which hold no space."""
+        data = f" {' '.join(letters)}".encode("utf-8", "surrogatepass")
+        buf = np.frombuffer(data, np.uint8)
+        lens = np.diff(np.r_[np.flatnonzero(buf == 32), len(buf)])
+        if not lead:
+            data, lens = buf[buf != 32].tobytes(), lens - 1
+        return _sliced(*self.merges.merge_buffer(data, lens))
 
     def _parts(self, text: str) -> list[str]:
         """Pretokens and special tokens, which are never pretokens of anything else."""
@@ -425,6 +445,16 @@ class Encoder:
         yield from self._together(group)
 
     def _together(self, texts: list[str]) -> Iterator[tuple[bytes, bool]]:
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the memo is long to walk
+        try:
+            found = self._step(texts)
+        finally:
+            if collects:
+                gc.enable()
+        yield from ((ids, True) for ids in found)
+
+    def _step(self, texts: list[str]) -> list[bytes]:
         bank = [Transducer(self.merges, words=self.words) for _ in texts]
         first, later = set(), set()
         for t, text in zip(bank, texts):
@@ -436,8 +466,7 @@ class Encoder:
         rest = [t for t, ids in zip(bank, found) if ids is None]
         if rest:
             self.words.learn(set(), set(), {u for t in rest for u in t.odd()})
-        found = [t.give_odd() if ids is None else ids for t, ids in zip(bank, found)]
-        yield from ((ids, True) for ids in found)
+        return [t.give_odd() if ids is None else ids for t, ids in zip(bank, found)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
