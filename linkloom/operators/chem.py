@@ -41,7 +41,7 @@ class MolFromSmiles(RowLink):
         return f"`{self.out_column}` {M.MOL}"
 
     def row_apply(self, row: dict, log: RowLogger) -> dict:
-        return {self.out_column: S.parse(row[self.in_column])}
+        return {self.out_column: S.parsed(row[self.in_column])}
 
 
 @register
@@ -63,7 +63,7 @@ class PandasAddMoleculeColumn(Link):
 
         def mol(text: str | None) -> dict | None:
             try:
-                return S.parse(text)
+                return S.parsed(text)
             except S.SmilesError:
                 return None
 
