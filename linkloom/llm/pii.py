@@ -273,7 +273,8 @@ def settle(found: DataFrame, key: str) -> DataFrame:
         rows = cut(drawn(todo), "pii")
         # on one surrogate meet few entities: its space is far larger than a group
         first = F.row_number().over(Window.partitionBy("kind", "s").orderBy("canon")) == 1
-        taken = rows.select("kind", "s").distinct().join(reduce(DataFrame.union, used).distinct(), ["kind", "s"]).withColumn("taken", F.lit(True))
+        # what is used is there once; few candidates are sent to it
+        taken = reduce(DataFrame.union, used).join(rows.select("kind", "s").distinct(), ["kind", "s"]).withColumn("taken", F.lit(True))
         judged = rows.join(taken, ["kind", "s"], "left").withColumn("ok", first & F.col("taken").isNull() & (F.col("s") != F.col("canon")))
         judged = cut(judged.select("kind", "canon", "m", "attempt", "s", "ok"), "pii")
         drop(rows)
