@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from linkloom.llm import common, neardup, packing, pii, queries, suffixes
 from linkloom.llm import toxicity as tox
 
-KEY = "linkloom"
 THRESHOLD = 0.5
 
 
@@ -62,7 +61,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return pii.replace(docs, key=KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return pii.replace(docs, key=queries.pii_key(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
