@@ -50,7 +50,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 # Frequent words of English that tell no licence.
-COMMON = frozenset("a an and any as at be by for from in is it may not of on or that the this to under v was were with without you work".split())
+COMMON = frozenset("a all an and any are as at be been both but by can do either for from has have he her his if in into is it its later may no not of on one only or other our out she so some such than that the their them then there these they this those to under up use used v was we were what when which who will with without work works you your".split())
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
